@@ -7,9 +7,11 @@ Only where nothing is set (tests, a laptop) a folder of this process is used.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,26 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once per application.
+
+    Where the package is installed or on their path already this changes nothing; the archive is what is served
+    otherwise.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="tracewright-code-")
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    archive = os.path.join(tmp, "tracewright_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("tracewright", os.path.relpath(full, here)))
+    sc.addPyFile(archive)
+    sc._tracewright_shipped = True
