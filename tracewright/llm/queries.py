@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import normalize as N
-from tracewright.llm import leakage, mixing, pii, subsequences
+from tracewright.llm import leakage, matching, mixing, pii, subsequences
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.array_join("pattern", " > ").alias("pattern"), "support")
 
 
+_PROFILE = {"key": "canonical_entity_id", "name": "display_name", "phone": "phone_number", "device": "device_id", "subnet": "ip_subnet", "city": "home_city", "year": "birth_year"}
+_RAW = _PROFILE | {"key": "raw_id", "name": "actor_name"}
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of descriptions of one party with score and confidence."""
+    found = matching.match(spark.read.parquet(f"{d}/entity_profile.parquet"), spark.read.parquet(f"{d}/raw_identity.parquet"), _PROFILE, _RAW)
+    return found.select(F.col("l").alias("canonical_entity_id"), F.col("r").alias("raw_id"), "score", "confidence")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of canonical and raw ids that describe the same party."""
+    return p6_matches(spark, d).select("canonical_entity_id", "raw_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/eval_items.parquet").select("item_id", "text"))
 
@@ -55,4 +70,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), _model(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p6_matches, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_redacted)}

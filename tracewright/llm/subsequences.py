@@ -26,6 +26,8 @@ JOINED = 1 << 20
 PIECE, FANOUT = 8192, 64
 #: Sequences longer than this are reduced before they are kept.
 LONG = 256
+#: A task builds a diagram of about so many distinct sequences at a time, which bounds its memory; their supports add up.
+BLOCK = 40_000
 
 
 class Diagram:
@@ -308,22 +310,26 @@ def _mine(wanted: list[tuple[int, ...]]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(1_000_000)
-        d = Diagram()
-        root = d.build((s.tolist() if hasattr(s, "tolist") else list(s), int(w)) for pdf in batches for s, w in zip(pdf["s"], pdf["w"], strict=True))
-        out = []
-
-        def grow(n: int, at: dict, prefix: list[int]) -> None:
-            for x in at.get(None, ()):
-                support = d.holds(n, x)
-                if support:
-                    out.append(([*prefix, x], support))
-            for x, nxt in at.items():
-                if x is not None:
-                    m = d.push(n, x)
-                    if m:
-                        grow(m, nxt, [*prefix, x])
-
-        grow(root, tree, [])
-        yield pd.DataFrame(out, columns=["pattern", "support"])
+        support: dict[tuple[int, ...], int] = defaultdict(int)
+
+        def mine(held: list[tuple[list[int], int]]) -> None:
+            d = Diagram()
+            stack = [(d.build(iter(held)), tree, ())]
+            while stack:
+                n, at, prefix = stack.pop()
+                for x in at.get(None, ()):
+                    support[*prefix, x] += d.holds(n, x)
+                for x, nxt in at.items():
+                    if x is not None and (m := d.push(n, x)):
+                        stack.append((m, nxt, (*prefix, x)))
+
+        held: list[tuple[list[int], int]] = []
+        for pdf in batches:
+            held += ((s.tolist() if hasattr(s, "tolist") else list(s), int(w)) for s, w in zip(pdf["s"], pdf["w"], strict=True))
+            if len(held) >= BLOCK:
+                mine(held)
+                held = []
+        mine(held)
+        yield pd.DataFrame([(list(p), n) for p, n in support.items() if n], columns=["pattern", "support"])
 
     return run
