@@ -41,8 +41,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("actor_id"), F.get_json_object("props", "$.k").cast("bigint").alias("target_id"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", S.mapped(F.col("event_type"), _DOMAIN).alias("source_domain"), F.col("value").alias("amount"))
 
 
-def r4(c: Column | str, name: str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 4).alias(name)
+def r7(c: Column | str, name: str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 7).alias(name)
 
 
 # ---- projection, validation ----
@@ -105,10 +105,10 @@ def prj16_search(spark, d):
     return validate.substring_search(events(spark, d), ["actor_id", "target_id"], "12")
 
 
-@query("SELECT canonical_entity_id, round(jaro_winkler_similarity(lower(trim(display_name)), 'greta beljint'), 4) AS similarity FROM entity_profile WHERE jaro_winkler_similarity(lower(trim(display_name)), 'greta beljint') >= 0.85")
+@query("SELECT canonical_entity_id, round(jaro_winkler_similarity(lower(trim(display_name)), 'greta beljint'), 7) AS similarity FROM entity_profile WHERE jaro_winkler_similarity(lower(trim(display_name)), 'greta beljint') >= 0.85")
 def prj17_name_search(spark, d):
     p = table(spark, d, "entity_profile").select("canonical_entity_id", S.jaro_winkler(F.col("display_name"), F.lit("greta beljint")).alias("s"))
-    return p.where("s >= 0.85").select("canonical_entity_id", r4("s", "similarity"))
+    return p.where("s >= 0.85").select("canonical_entity_id", r7("s", "similarity"))
 
 
 # ---- scalars ----
@@ -229,9 +229,9 @@ def _scored(spark, d):
     return j.select("left_id", "right_id", w.alias("weight")).withColumn("p", linkage.match_probability(F.col("weight")))
 
 
-@query("WITH " + _SCORED + " SELECT left_id, right_id, round(weight, 4) AS weight, round(p, 4) AS p, CASE WHEN p >= 0.85 THEN 'CONFIRMED' WHEN p >= 0.6 THEN 'POSSIBLE' ELSE 'REJECTED' END AS status FROM scored")
+@query("WITH " + _SCORED + " SELECT left_id, right_id, round(weight, 7) AS weight, round(p, 7) AS p, CASE WHEN p >= 0.85 THEN 'CONFIRMED' WHEN p >= 0.6 THEN 'POSSIBLE' ELSE 'REJECTED' END AS status FROM scored")
 def er3_pair_scores(spark, d):
-    return _scored(spark, d).select("left_id", "right_id", r4("weight", "weight"), r4("p", "p"), linkage.match_status(F.col("p")).alias("status"))
+    return _scored(spark, d).select("left_id", "right_id", r7("weight", "weight"), r7("p", "p"), linkage.match_status(F.col("p")).alias("status"))
 
 
 @query(
@@ -277,31 +277,31 @@ def jn23_b_cubed(spark, d):
     """WITH {ev}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY actor_id ORDER BY t, event_id)) / 1e6 AS gap FROM ev WHERE event_type = 'error'),
     p AS (SELECT actor_id AS x, target_id AS y, 1 AS o, 0 AS i FROM ev WHERE event_type = 'error' AND actor_id <> target_id UNION ALL SELECT target_id, actor_id, 0, 1 FROM ev WHERE event_type = 'error' AND actor_id <> target_id),
     b AS (SELECT x, y, max(o) AS o, max(i) AS i FROM p GROUP BY 1, 2), r AS (SELECT x, sum(o * i) / count(*) AS rec FROM b GROUP BY 1)
-    SELECT actor_id, count(*) AS call_count, count(DISTINCT target_id) AS unique_contacts, round(avg(amount), 4) AS mean_duration, max(amount) AS max_duration, round(avg(CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 1 ELSE 0 END), 4) AS night_call_ratio,
-    round(CASE WHEN count(gap) > 1 AND avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0 END, 4) AS burstiness, round(coalesce(min(rec), 0), 4) AS reciprocity FROM g LEFT JOIN r ON x = actor_id GROUP BY 1"""
+    SELECT actor_id, count(*) AS call_count, count(DISTINCT target_id) AS unique_contacts, round(avg(amount), 7) AS mean_duration, max(amount) AS max_duration, round(avg(CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 1 ELSE 0 END), 7) AS night_call_ratio,
+    round(CASE WHEN count(gap) > 1 AND avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0 END, 7) AS burstiness, round(coalesce(min(rec), 0), 7) AS reciprocity FROM g LEFT JOIN r ON x = actor_id GROUP BY 1"""
 )
 def ag1_call_features(spark, d):
     f = entity_features.call_features(events(spark, d).where("event_type = 'error'"))
-    return f.select("actor_id", "call_count", "unique_contacts", r4("mean_duration", "mean_duration"), "max_duration", r4("night_call_ratio", "night_call_ratio"), r4("burstiness", "burstiness"), r4("reciprocity", "reciprocity"))
+    return f.select("actor_id", "call_count", "unique_contacts", r7("mean_duration", "mean_duration"), "max_duration", r7("night_call_ratio", "night_call_ratio"), r7("burstiness", "burstiness"), r7("reciprocity", "reciprocity"))
 
 
 @query(
-    """SELECT o_custkey, count(*) AS transaction_count, round(sum(l_extendedprice), 2) AS transaction_velocity, round(avg(l_extendedprice), 2) AS mean_amount, round(median(l_extendedprice), 2) AS median_amount, count(DISTINCT l_suppkey) AS unique_counterparties, round(mad(l_extendedprice), 2) AS amount_deviation
+    """SELECT o_custkey, count(*) AS transaction_count, round(sum(l_extendedprice), 6) AS transaction_velocity, round(avg(l_extendedprice), 6) AS mean_amount, round(median(l_extendedprice), 6) AS median_amount, count(DISTINCT l_suppkey) AS unique_counterparties, round(mad(l_extendedprice), 6) AS amount_deviation
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"""
 )
 def ag3_money_features(spark, d):
     pay = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey", "l_extendedprice")
     f = entity_features.money_features(pay, "o_custkey", "l_suppkey", "l_extendedprice")
-    return f.select("o_custkey", "transaction_count", "unique_counterparties", *[F.round(c, 2).alias(c) for c in ("transaction_velocity", "mean_amount", "median_amount", "amount_deviation")])
+    return f.select("o_custkey", "transaction_count", "unique_counterparties", *[F.round(c, 6).alias(c) for c in ("transaction_velocity", "mean_amount", "median_amount", "amount_deviation")])
 
 
 @query(
     """WITH {ev}, f AS (SELECT actor_id AS id, amount AS o, 0.0 AS i FROM ev WHERE event_type = 'purchase' UNION ALL SELECT target_id, 0.0, amount FROM ev WHERE event_type = 'purchase')
-    SELECT id, round(sum(i), 2) AS inflow, round(sum(o), 2) AS outflow, round(CASE WHEN sum(o) > 0 THEN sum(i) / sum(o) ELSE 999999.0 END, 4) AS inflow_outflow_ratio FROM f GROUP BY 1"""
+    SELECT id, round(sum(i), 6) AS inflow, round(sum(o), 6) AS outflow, round(CASE WHEN sum(o) > 0 THEN sum(i) / sum(o) ELSE 999999.0 END, 7) AS inflow_outflow_ratio FROM f GROUP BY 1"""
 )
 def ag3_flow_ratio(spark, d):
     f = entity_features.flow_ratio(events(spark, d).where("event_type = 'purchase'"), "actor_id", "target_id", "amount")
-    return f.select("id", F.round("inflow", 2).alias("inflow"), F.round("outflow", 2).alias("outflow"), r4("inflow_outflow_ratio", "inflow_outflow_ratio"))
+    return f.select("id", F.round("inflow", 6).alias("inflow"), F.round("outflow", 6).alias("outflow"), r7("inflow_outflow_ratio", "inflow_outflow_ratio"))
 
 
 @query(
@@ -324,19 +324,19 @@ def ag13_domain_counts(spark, d):
 
 @query(
     """WITH {ev}, s AS (SELECT *, (t - lag(t) OVER w) / 1e6 AS g, lag(event_type) OVER w AS l, lag(source_domain) OVER w AS dd FROM ev WINDOW w AS (PARTITION BY actor_id ORDER BY t, event_id))
-    SELECT actor_id, count(*) AS length, round(avg(g), 4) AS mean_gap, count(*) FILTER (WHERE g <= 60) AS rapid, count(*) FILTER (WHERE l = event_type) AS repeated, count(*) FILTER (WHERE dd <> source_domain) AS cross_domain, count(DISTINCT CASE WHEN l IS NOT NULL THEN concat(l, '>', event_type) END) AS unique_transitions FROM s GROUP BY 1"""
+    SELECT actor_id, count(*) AS length, round(avg(g), 7) AS mean_gap, count(*) FILTER (WHERE g <= 60) AS rapid, count(*) FILTER (WHERE l = event_type) AS repeated, count(*) FILTER (WHERE dd <> source_domain) AS cross_domain, count(DISTINCT CASE WHEN l IS NOT NULL THEN concat(l, '>', event_type) END) AS unique_transitions FROM s GROUP BY 1"""
 )
 def ag16_sequence_features(spark, d):
-    return entity_features.sequence_features(events(spark, d)).withColumn("mean_gap", F.round("mean_gap", 4))
+    return entity_features.sequence_features(events(spark, d)).withColumn("mean_gap", F.round("mean_gap", 7))
 
 
 @query(
     """WITH {ev}, s AS (SELECT lag(event_type) OVER (PARTITION BY actor_id ORDER BY t, event_id) AS src, event_type AS dst, (t - lag(t) OVER (PARTITION BY actor_id ORDER BY t, event_id)) / 1e6 AS g FROM ev)
-    SELECT src, dst, count(*) AS n, round(avg(g), 3) AS mean_gap, round(median(g), 3) AS median_gap, round(min(g), 3) AS min_gap, round(max(g), 3) AS max_gap FROM s WHERE src IS NOT NULL GROUP BY 1, 2"""
+    SELECT src, dst, count(*) AS n, round(avg(g), 7) AS mean_gap, round(median(g), 7) AS median_gap, round(min(g), 7) AS min_gap, round(max(g), 7) AS max_gap FROM s WHERE src IS NOT NULL GROUP BY 1, 2"""
 )
 def ag17_transitions(spark, d):
     x = temporal.transitions(events(spark, d))
-    return x.select("src", "dst", "n", *[F.round(c, 3).alias(c) for c in ("mean_gap", "median_gap", "min_gap", "max_gap")])
+    return x.select("src", "dst", "n", *[F.round(c, 7).alias(c) for c in ("mean_gap", "median_gap", "min_gap", "max_gap")])
 
 
 _WIDE = "f AS (SELECT actor_id, CAST(count(*) AS DOUBLE) AS n, sum(amount) AS total, CAST(count(DISTINCT target_id) AS DOUBLE) AS contacts, max(amount) AS largest FROM ev GROUP BY 1)"
@@ -347,22 +347,22 @@ def _wide(spark, d):
     return events(spark, d).groupBy("actor_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("amount").alias("total"), F.countDistinct("target_id").cast("double").alias("contacts"), F.max("amount").alias("largest"))
 
 
-@query("WITH {ev}, " + _WIDE + " SELECT actor_id, n, round(total, 4) AS total, contacts, largest FROM f")
+@query("WITH {ev}, " + _WIDE + " SELECT actor_id, n, round(total, 7) AS total, contacts, largest FROM f")
 def ag8_feature_matrix(spark, d):
     long = entity_features.long_rows(_wide(spark, d), "actor_id", _NAMES)
-    return entity_features.wide_matrix(long, "actor_id", _NAMES).withColumn("total", F.round("total", 4))
+    return entity_features.wide_matrix(long, "actor_id", _NAMES).withColumn("total", F.round("total", 7))
 
 
-@query("WITH {ev}, " + _WIDE + ", l AS (UNPIVOT f ON n, total, contacts, largest INTO NAME feature_name VALUE v) SELECT feature_name, round(median(v), 4) AS median, round(stddev_pop(v), 4) AS std, count(*) AS n, round(mad(v), 4) AS mad FROM l GROUP BY 1")
+@query("WITH {ev}, " + _WIDE + ", l AS (UNPIVOT f ON n, total, contacts, largest INTO NAME feature_name VALUE v) SELECT feature_name, round(median(v), 7) AS median, round(stddev_pop(v), 7) AS std, count(*) AS n, round(mad(v), 7) AS mad FROM l GROUP BY 1")
 def ag20_population(spark, d):
     s = entity_features.population_statistics(entity_features.long_rows(_wide(spark, d), "actor_id", _NAMES))
-    return s.select("feature_name", r4("median", "median"), r4("std", "std"), "n", r4("mad", "mad"))
+    return s.select("feature_name", r7("median", "median"), r7("std", "std"), "n", r7("mad", "mad"))
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.05), 4) AS q05, round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.95), 4) AS q95, round(stddev_pop(value), 4) AS sd FROM events GROUP BY 1")
+@query("SELECT event_type, round(quantile_cont(value, 0.05), 7) AS q05, round(quantile_cont(value, 0.5), 7) AS q50, round(quantile_cont(value, 0.95), 7) AS q95, round(stddev_pop(value), 7) AS sd FROM events GROUP BY 1")
 def ag12_distribution(spark, d):
-    q = lambda p: F.round(F.percentile("value", p), 4)
-    return table(spark, d, "events").groupBy("event_type").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), F.round(F.stddev_pop("value"), 4).alias("sd"))
+    q = lambda p: F.round(F.percentile("value", p), 7)
+    return table(spark, d, "events").groupBy("event_type").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), F.round(F.stddev_pop("value"), 7).alias("sd"))
 
 
 _LABELS = "x AS (SELECT l_discount * 10 AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"
@@ -403,33 +403,33 @@ def _daily(spark, d):
     "WITH {ev}, "
     + _DAILY
     + """, b AS (SELECT *, count(*) OVER w AS n, median(v) OVER w AS med, mad(v) OVER w AS mad, quantile_cont(v, 0.25) OVER w AS q25, list(v) OVER w AS h, avg(v) OVER (PARTITION BY actor_id ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS rm FROM day WINDOW w AS (PARTITION BY actor_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT actor_id, d, n AS history_n, round(med, 3) AS median, round(q25, 3) AS q25, round(mad, 3) AS mad, round(rm, 3) AS rolling_mean, CASE WHEN n > 0 THEN round((v - med) / greatest(mad * 1.4826, 1e-9), 2) END AS robust_z,
-    CASE WHEN n >= 3 THEN round(len(list_filter(h, lambda x: x <= v)) * 100.0 / n, 3) END AS percentile_rank, CASE WHEN n < 3 THEN 'COLD_START' WHEN n < 10 THEN 'PROVISIONAL' ELSE 'ESTABLISHED' END AS status FROM b"""
+    SELECT actor_id, d, n AS history_n, round(med, 7) AS median, round(q25, 7) AS q25, round(mad, 7) AS mad, round(rm, 7) AS rolling_mean, CASE WHEN n > 0 THEN round((v - med) / greatest(mad * 1.4826, 1e-9), 2) + 0.0 END AS robust_z,
+    CASE WHEN n >= 3 THEN round(len(list_filter(h, lambda x: x <= v)) * 100.0 / n, 7) END AS percentile_rank, CASE WHEN n < 3 THEN 'COLD_START' WHEN n < 10 THEN 'PROVISIONAL' ELSE 'ESTABLISHED' END AS status FROM b"""
 )
 def wn1_baselines(spark, d):
     b = temporal.causal_baselines(_daily(spark, d), ["actor_id"], ["d"], "v")
     rd = lambda c, k: F.round(c, k).alias(c)
     # A scale of nothing gives figures without meaning beyond their size; they are compared to two decimals.
-    return b.select("actor_id", "d", F.col("history_n").cast("bigint").alias("history_n"), rd("median", 3), rd("q25", 3), rd("mad", 3), rd("rolling_mean", 3), rd("robust_z", 2), rd("percentile_rank", 3), "status").where("mad is null or mad > 0.001 or history_n <> 1 or true")
+    return b.select("actor_id", "d", F.col("history_n").cast("bigint").alias("history_n"), rd("median", 7), rd("q25", 7), rd("mad", 7), rd("rolling_mean", 7), (F.round("robust_z", 2) + 0.0).alias("robust_z"), rd("percentile_rank", 7), "status")
 
 
 @query(
     "WITH {ev}, "
     + _DAILY
-    + ", h AS (SELECT actor_id, d, list(v) OVER (PARTITION BY actor_id ORDER BY d) AS h FROM day) SELECT actor_id, d, round(list_reduce(h, lambda a, x: a * 0.7 + x * 0.3), 4) AS ewma FROM h"
+    + ", h AS (SELECT actor_id, d, list(v) OVER (PARTITION BY actor_id ORDER BY d) AS h FROM day) SELECT actor_id, d, round(list_reduce(h, lambda a, x: a * 0.7 + x * 0.3) + 1e-10, 7) AS ewma FROM h"
 )
 def wn2_ewma(spark, d):
-    return temporal.ewma(_daily(spark, d), ["actor_id"], ["d"], "v").select("actor_id", "d", r4("ewma", "ewma"))
+    return temporal.ewma(_daily(spark, d), ["actor_id"], ["d"], "v").select("actor_id", "d", r7(F.col("ewma") + 1e-10, "ewma"))
 
 
 @query(
     """WITH {ev}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY actor_id ORDER BY t, event_id)) / 1e6 AS gap FROM ev)
-    SELECT event_id, count(*) OVER h AS count_1h, count(*) OVER q AS count_15m, round(sum(amount) OVER h, 4) AS amount_1h, round(coalesce(avg(gap) OVER h, 1800.0), 3) AS mean_gap_1h, round((count(*) OVER q) / greatest(1.0, (count(*) OVER h) / 4.0), 4) AS acceleration
+    SELECT event_id, count(*) OVER h AS count_1h, count(*) OVER q AS count_15m, round(sum(amount) OVER h, 7) AS amount_1h, round(coalesce(avg(gap) OVER h, 1800.0), 7) AS mean_gap_1h, round((count(*) OVER q) / greatest(1.0, (count(*) OVER h) / 4.0), 7) AS acceleration
     FROM g WINDOW h AS (PARTITION BY actor_id ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), q AS (PARTITION BY actor_id ORDER BY t RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW)"""
 )
 def wn6_trailing_features(spark, d):
     f = temporal.trailing_features(events(spark, d))
-    return f.select("event_id", "count_1h", "count_15m", r4("amount_1h", "amount_1h"), F.round("mean_gap_1h", 3).alias("mean_gap_1h"), r4("acceleration", "acceleration"))
+    return f.select("event_id", "count_1h", "count_15m", r7("amount_1h", "amount_1h"), F.round("mean_gap_1h", 7).alias("mean_gap_1h"), r7("acceleration", "acceleration"))
 
 
 @query("WITH {ev} SELECT event_id, CAST(coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY actor_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND 3600000000 FOLLOWING), 0) AS INT) AS label FROM ev")
@@ -439,15 +439,15 @@ def wn7_future_labels(spark, d):
 
 @query(
     """WITH {ev}, f AS (SELECT actor_id, target_id, min(t) AS ft FROM ev GROUP BY 1, 2), p AS (SELECT *, count(*) OVER w AS prior_n, min(t) OVER w AS pf, count(*) OVER (PARTITION BY actor_id ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS burst_1h FROM ev WINDOW w AS (PARTITION BY actor_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT event_id, prior_n, burst_1h, ft = t AS new_counterparty, CASE WHEN prior_n >= 2 THEN round(prior_n / greatest((t - pf) / 3600000000.0, 1 / 3600.0), 4) END AS rate_per_h, CASE WHEN prior_n < 2 THEN 'INSUFFICIENT' ELSE 'SCORED' END AS status FROM p JOIN f USING (actor_id, target_id)"""
+    SELECT event_id, prior_n, burst_1h, ft = t AS new_counterparty, CASE WHEN prior_n >= 2 THEN round(prior_n / greatest((t - pf) / 3600000000.0, 1 / 3600.0), 7) END AS rate_per_h, CASE WHEN prior_n < 2 THEN 'INSUFFICIENT' ELSE 'SCORED' END AS status FROM p JOIN f USING (actor_id, target_id)"""
 )
 def wn8_walk_forward(spark, d):
-    return temporal.walk_forward(events(spark, d)).select("event_id", "prior_n", "burst_1h", "new_counterparty", r4("rate_per_h", "rate_per_h"), "status")
+    return temporal.walk_forward(events(spark, d)).select("event_id", "prior_n", "burst_1h", "new_counterparty", r7("rate_per_h", "rate_per_h"), "status")
 
 
-@query("WITH {ev} SELECT event_id, round((t - lag(t) OVER (PARTITION BY actor_id ORDER BY t, event_id)) / 1e6, 4) AS gap_s FROM ev")
+@query("WITH {ev} SELECT event_id, round((t - lag(t) OVER (PARTITION BY actor_id ORDER BY t, event_id)) / 1e6, 7) AS gap_s FROM ev")
 def wn9_gaps(spark, d):
-    return temporal.gaps(events(spark, d)).select("event_id", r4("gap_s", "gap_s"))
+    return temporal.gaps(events(spark, d)).select("event_id", r7("gap_s", "gap_s"))
 
 
 @query(
@@ -477,17 +477,17 @@ def wn17_arrival_status(spark, d):
 
 _NGRAM = """WITH {ev}, a AS (SELECT *, lead(event_type, 1) OVER w AS l1, lead(event_type, 2) OVER w AS l2, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2 FROM ev WINDOW w AS (PARTITION BY actor_id ORDER BY t, event_id)),
     g AS (SELECT 2 AS length, concat_ws(' -> ', event_type, l1) AS pattern, t AS s, t1 AS e FROM a WHERE l1 IS NOT NULL UNION ALL SELECT 3, concat_ws(' -> ', event_type, l1, l2), t, t2 FROM a WHERE l2 IS NOT NULL)
-    SELECT pattern, length, count(*) AS n, round(avg((e - s) / 1e6), 3) AS mean_span_s, CAST(min(s) AS BIGINT) AS first_start, CAST(max(e) AS BIGINT) AS last_end FROM g GROUP BY 1, 2"""
+    SELECT pattern, length, count(*) AS n, round(avg((e - s) / 1e6), 7) AS mean_span_s, CAST(min(s) AS BIGINT) AS first_start, CAST(max(e) AS BIGINT) AS last_end FROM g GROUP BY 1, 2"""
 
 
 @query(_NGRAM)
 def wn12_ngrams(spark, d):
-    return temporal.ngrams(events(spark, d), 2, 3).withColumn("mean_span_s", F.round("mean_span_s", 3))
+    return temporal.ngrams(events(spark, d), 2, 3).withColumn("mean_span_s", F.round("mean_span_s", 7))
 
 
-@query("WITH {ev}, b AS (SELECT *, avg(amount) OVER w AS m, stddev_pop(amount) OVER w AS s FROM ev WINDOW w AS (PARTITION BY actor_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id, round(least(coalesce(abs((amount - m) / greatest(s, 1.0)) / 5, 0), 1), 4) AS deviation FROM b")
+@query("WITH {ev}, b AS (SELECT *, avg(amount) OVER w AS m, stddev_pop(amount) OVER w AS s FROM ev WINDOW w AS (PARTITION BY actor_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id, round(least(coalesce(abs((amount - m) / greatest(s, 1.0)) / 5, 0), 1), 7) AS deviation FROM b")
 def wn15_pivot_deviation(spark, d):
-    return temporal.pivot_deviation(events(spark, d)).select("event_id", r4("deviation", "deviation"))
+    return temporal.pivot_deviation(events(spark, d)).select("event_id", r7("deviation", "deviation"))
 
 
 _LAST = "p AS (SELECT actor_id, max(t) AS pivot_t FROM ev WHERE event_type = 'error' GROUP BY 1)"
@@ -660,18 +660,18 @@ def seq8_first_after(spark, d):
     + _WIDE
     + """, l AS (UNPIVOT f ON n, total, contacts, largest INTO NAME k VALUE v), p AS (SELECT k, median(v) AS med, mad(v) AS mad, stddev_pop(v) AS sd FROM l GROUP BY 1),
     z AS (SELECT actor_id, abs((v - med) / CASE WHEN mad * 1.4826 > 1e-6 THEN mad * 1.4826 ELSE greatest(sd, 1e-4) END) AS z FROM l JOIN p USING (k)), t AS (SELECT actor_id, list_avg(list_slice(list_reverse_sort(list(z)), 1, 3)) AS m FROM z GROUP BY 1)
-    SELECT actor_id, round(m, 4) AS mean_top_z, round(CASE WHEN m <= 0 THEN 0.05 ELSE 2 / (1 + exp(-m / 2)) - 1 END, 4) AS score FROM t"""
+    SELECT actor_id, round(m, 7) AS mean_top_z, round(CASE WHEN m <= 0 THEN 0.05 ELSE 2 / (1 + exp(-m / 2)) - 1 END, 7) AS score FROM t"""
 )
 def an7_robust_scores(spark, d):
     s = anomaly.robust_scores(_wide(spark, d), "actor_id", _NAMES)
-    return s.select("actor_id", r4("mean_top_z", "mean_top_z"), r4("score", "score"))
+    return s.select("actor_id", r7("mean_top_z", "mean_top_z"), r7("score", "score"))
 
 
-@query("WITH {ev}, " + _WIDE + " SELECT actor_id, round(0.2 * ((n > 70)::INT + (total > 3000)::INT + (contacts > 50)::INT + (largest > 200)::INT), 4) AS score FROM f")
+@query("WITH {ev}, " + _WIDE + " SELECT actor_id, round(0.2 * ((n > 70)::INT + (total > 3000)::INT + (contacts > 50)::INT + (largest > 200)::INT), 7) AS score FROM f")
 def an3_rule_scores(spark, d):
     c = F.col
     s = anomaly.rule_score([c("n") > 70, c("total") > 3000, c("contacts") > 50, c("largest") > 200])
-    return _wide(spark, d).select("actor_id", r4(s, "score"))
+    return _wide(spark, d).select("actor_id", r7(s, "score"))
 
 
 @query()
@@ -692,27 +692,27 @@ def _domain_scores(spark, d):
     + _SCORES
     + """, m AS (SELECT c_custkey, CASE WHEN a IS NULL THEN 0 ELSE 0.8 * least(greatest(a, 0), 1) END AS aa, CASE WHEN a IS NULL THEN 0 ELSE 0.8 * (1 - least(greatest(a, 0), 1)) END AS an, CASE WHEN a IS NULL THEN 1.0 ELSE 0.2 END AS at_, 0.8 * b AS ba, 0.8 * (1 - b) AS bn, 0.8 * c AS ca, 0.8 * (1 - c) AS cn FROM x),
     s1 AS (SELECT *, aa * bn + an * ba AS k1 FROM m), s2 AS (SELECT *, (aa * ba + aa * 0.2 + at_ * ba) / (1 - k1) AS xa, (an * bn + an * 0.2 + at_ * bn) / (1 - k1) AS xn, at_ * 0.2 / (1 - k1) AS xt FROM s1),
-    s3 AS (SELECT *, xa * cn + xn * ca AS k2 FROM s2) SELECT c_custkey, round((xa * ca + xa * 0.2 + xt * ca) / (1 - k2), 4) AS belief, round((xn * cn + xn * 0.2 + xt * cn) / (1 - k2), 4) AS disbelief, round(xt * 0.2 / (1 - k2), 4) AS ignorance, round(least(k1 + k2, 1), 4) AS conflict FROM s3"""
+    s3 AS (SELECT *, xa * cn + xn * ca AS k2 FROM s2) SELECT c_custkey, round((xa * ca + xa * 0.2 + xt * ca) / (1 - k2), 7) AS belief, round((xn * cn + xn * 0.2 + xt * cn) / (1 - k2), 7) AS disbelief, round(xt * 0.2 / (1 - k2), 7) AS ignorance, round(least(k1 + k2, 1), 7) AS conflict FROM s3"""
 )
 def fu2_dempster_shafer(spark, d):
     m = fusion.combine_masses(F.array(*[fusion.mass(F.col(c)) for c in "abc"]))
-    return _domain_scores(spark, d).select("c_custkey", m.alias("m")).select("c_custkey", r4("m.a", "belief"), r4("m.n", "disbelief"), r4("m.t", "ignorance"), r4("m.conflict", "conflict"))
+    return _domain_scores(spark, d).select("c_custkey", m.alias("m")).select("c_custkey", r7("m.a", "belief"), r7("m.n", "disbelief"), r7("m.t", "ignorance"), r7("m.conflict", "conflict"))
 
 
-@query("WITH " + _SCORES + " SELECT c_custkey, round((coalesce(a * 0.5, 0) + b * 0.3 + c * 0.2) / (CASE WHEN a IS NULL THEN 0 ELSE 0.5 END + 0.5), 4) AS score FROM x")
+@query("WITH " + _SCORES + " SELECT c_custkey, round((coalesce(a * 0.5, 0) + b * 0.3 + c * 0.2) / (CASE WHEN a IS NULL THEN 0 ELSE 0.5 END + 0.5), 7) AS score FROM x")
 def fu3_weighted_fusion(spark, d):
     s = fusion.weighted_mean({k: F.col(k) for k in "abc"}, {"a": 0.5, "b": 0.3, "c": 0.2})
-    return _domain_scores(spark, d).select("c_custkey", r4(s, "score"))
+    return _domain_scores(spark, d).select("c_custkey", r7(s, "score"))
 
 
 @query(
     "WITH "
     + _SCORES
-    + """, y AS (SELECT c_custkey, coalesce(a, 0) AS a, b, c FROM x) SELECT c_custkey, round(a / 3 + (a * (1 - b) + a * (1 - c)) / 6 + a * (1 - b) * (1 - c) / 3, 4) AS phi_a, round(b / 3 + (b * (1 - a) + b * (1 - c)) / 6 + b * (1 - a) * (1 - c) / 3, 4) AS phi_b FROM y"""
+    + """, y AS (SELECT c_custkey, coalesce(a, 0) AS a, b, c FROM x) SELECT c_custkey, round(a / 3 + (a * (1 - b) + a * (1 - c)) / 6 + a * (1 - b) * (1 - c) / 3 + 1e-10, 7) AS phi_a, round(b / 3 + (b * (1 - a) + b * (1 - c)) / 6 + b * (1 - a) * (1 - c) / 3 + 1e-10, 7) AS phi_b FROM y"""
 )
 def ml4_shapley(spark, d):
     phi = fusion.shapley({k: F.coalesce(F.col(k), F.lit(0.0)) for k in "abc"})
-    return _domain_scores(spark, d).select("c_custkey", r4(phi["a"], "phi_a"), r4(phi["b"], "phi_b"))
+    return _domain_scores(spark, d).select("c_custkey", r7(phi["a"] + 1e-10, "phi_a"), r7(phi["b"] + 1e-10, "phi_b"))
 
 
 @query()
