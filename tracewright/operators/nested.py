@@ -13,7 +13,7 @@ _NUMBERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 
 def merge_types(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The type that holds both: fields are united by name, a bare value and an array make an array, numbers widen, anything else becomes text."""
+    """The type that holds both: fields are united by name, a bare value and an array make an array, numbers widen, an object and a plain value are text. Of other plain types the first, the declared one, holds; a value that is none of it is null."""
     if a == b or isinstance(b, T.NullType):
         return a
     if isinstance(a, T.NullType):
@@ -29,7 +29,7 @@ def merge_types(a: T.DataType, b: T.DataType) -> T.DataType:
         return max(a, b, key=lambda t: _NUMBERS.index(type(t)))
     if isinstance(a, T.StructType) or isinstance(b, T.StructType):
         return T.StringType()
-    return a if isinstance(b, T.StringType) else b if isinstance(a, T.StringType) else T.StringType()
+    return a
 
 
 def infer_json_schema(df: DataFrame, column: Column) -> T.StructType:
