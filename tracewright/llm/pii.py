@@ -29,11 +29,12 @@ SAMPLE_DOCS = 1500
 SAMPLE_CLUSTERS = 6000
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
-# Words that end or begin a street's name, flats, titles.
+# Words that end or begin a street's name, flats, labels, firms, titles.
 _STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Terrace|Close|Way|Drive|Row|Court|Place|Square|Crescent|Gardens|Grove|Walk|Hill|Park)"
 _STRASSE = r"(?:[Ss]tra(?:ß|ss)e|[Ww]eg|[Gg]asse|[Aa]llee|[Pp]latz|[Ss]tr\.)"
 _RUE = r"(?:[Rr]ue|[Aa]venue|[Pp]lace|[Cc]hemin|[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Cc]amino|[Vv]ia)"
 _LABELS = {"tel", "telefon", "fon", "phone", "ring", "call", "tél", "mobile", "handy", "fax"}
+_FIRM = {"ltd", "limited", "inc", "gmbh", "ag", "plc", "llc", "co", "company", "sons", "bros", "brothers", "trust", "society", "press", "railway", "station"}
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "m", "mme", "sr", "sra", "don", "sir"}
 
 _EMAIL = re.compile(r"[\w.+%'-]+(?:@|&#64;|\s?[\[(](?:at|AT)[\])]\s?)[\w-]+(?:(?:\.|\s?[\[(](?:dot|DOT)[\])]\s?)[\w-]+)+")
@@ -116,7 +117,7 @@ def _names(line: str, lex: Lexicon, drop: random.Random | None) -> Iterator[tupl
                 continue
             else:
                 family, given, form = words[-1], words[0], "GF"
-            if any(len(w.rstrip(".")) > 1 and w.rstrip(".").lower() in _TITLES for w in words):
+            if any(len(w.rstrip(".")) > 1 and w.rstrip(".").lower() in _TITLES | _FIRM for w in words):
                 continue
             if _kind(given) == "I" and not given.endswith("."):
                 continue
@@ -184,7 +185,7 @@ def candidates(line: str, lex: Lexicon, drop: random.Random | None = None, label
         feats = _number_features(text) + _context(line, a, b)
         low = line[max(0, a - 24) : a].lower()
         phone = bool(re.search(r"(tel|phone|fon|call|telefon|ring|txt me|téléphone|teléfono|mobile|móvil)\W{0,4}$", low)) or text[0] == "+"
-        ident = bool(re.search(r"(ssn|id no|passport|national number|insurance no|ausweis|id number|dni|nie)\W{0,4}$", low)) or bool(re.match(r"[A-Z]{1,2} ?\d", text))
+        ident = bool(re.search(r"(ssn|id no|passport|national number|insurance no|ausweis|id number|dni|nie)\W{0,4}$", low)) or bool(re.match(r"[A-Z]{1,2} ?\d|\d{3}-\d{2}-\d{4}$|\d{3} \d{3} \d{3} \d$", text))
         other = bool(re.search(r"(isbn|catalogue no|linkcheck|issn|oclc|doi|\(id)\W{0,4}$", low)) or "isbn" in feats
         for kind, mine, theirs in (("PHONE", phone, ident or other), ("ID_NUMBER", ident, phone or other)):
             add(a, b, kind, feats, "yes" if mine and not other else "no" if theirs else "?")
