@@ -68,11 +68,12 @@ def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """All character n-grams of each word, the word padded with one blank on both sides."""
     words = F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: F.length(w) > 0)
     pad = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    grams = [
-        F.flatten(F.transform(words, lambda w, n=n: F.when(F.length(pad(w)) >= n, F.transform(F.sequence(F.lit(1), F.length(pad(w)) - (n - 1)), lambda i: F.substring(pad(w), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams)
+
+    def of(n: int) -> Column:
+        cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(pad(w)) - (n - 1)), lambda i: F.substring(pad(w), i, F.lit(n)))
+        return F.flatten(F.transform(words, lambda w: F.when(F.length(pad(w)) >= n, cut(w)).otherwise(F.array().cast("array<string>"))))
+
+    return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
 def terms_in(c: Column, terms: Sequence[str]) -> Column:
@@ -210,11 +211,10 @@ def bigrams(xs: Column) -> Column:
 
 def slices(xs: Column, low: int, high: int) -> Column:
     """All contiguous parts of ``low`` to ``high`` elements, as struct<start (0-based), length, items>."""
-    parts = [
-        F.when(F.size(xs) >= n, F.transform(F.sequence(F.lit(0), F.size(xs) - n), lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("length"), F.slice(xs, i + 1, n).alias("items"))))
-        for n in range(low, high + 1)
-    ]
-    return F.flatten(F.array_compact(F.array(*parts)))
+    def of(n: int) -> Column:
+        return F.when(F.size(xs) >= n, F.transform(F.sequence(F.lit(0), F.size(xs) - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.slice(xs, i + 1, n).alias("items"))))
+
+    return F.flatten(F.array_compact(F.array(*[of(n) for n in range(low, high + 1)])))
 
 
 def has_repeats(xs: Column) -> Column:

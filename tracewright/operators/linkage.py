@@ -135,7 +135,7 @@ def pair_quality(pairs: DataFrame, truth: DataFrame, n_records: int) -> DataFram
     """Blocking recall and reduction ratio of candidate pairs against true pairs."""
     hit = truth.join(pairs.select("left_id", "right_id", F.lit(1).alias("hit")), ["left_id", "right_id"], "left")
     found = hit.agg(F.count(F.lit(1)).alias("n_true"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"))
-    return found.withColumn("recall", F.col("n_found") / F.col("n_true")).withColumn("reduction", 1 - F.lit(pairs.count()) / F.lit(n_records * (n_records - 1) / 2))
+    return found.withColumn("recall", F.try_divide("n_found", "n_true")).withColumn("reduction", F.lit(1 - pairs.count() / max(n_records * (n_records - 1) / 2, 1)))
 
 
 def b_cubed(clustered: DataFrame, predicted: str, true: str) -> DataFrame:

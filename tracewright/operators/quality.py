@@ -25,9 +25,9 @@ def rates(df: DataFrame, wrong: Mapping[str, Column]) -> DataFrame:
 
 
 def missing_rate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row (rate): null or blank cells of all cells of ``columns``."""
+    """One row (rate): null or blank cells of all cells of ``columns``; null for an empty table."""
     bad = sum((F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True)).cast("int") for c in columns), F.lit(0))
-    return df.agg((F.sum(bad) / (F.count(F.lit(1)) * len(columns))).alias("rate"))
+    return df.agg(F.try_divide(F.sum(bad), F.count(F.lit(1)) * len(columns)).alias("rate"))
 
 
 def placeholder(c: Column) -> Column:

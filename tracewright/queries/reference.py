@@ -38,7 +38,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def events(spark: SparkSession, d: str) -> DataFrame:
     """The event table in canonical columns; ``t`` counts microseconds."""
     e = table(spark, d, "events")
-    return e.select("event_id", F.col("user_id").alias("actor_id"), F.get_json_object("props", "$.k").cast("bigint").alias("target_id"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", S.mapped(F.col("event_type"), _DOMAIN).alias("source_domain"), F.col("value").alias("amount"))
+    return e.select("event_id", F.col("user_id").alias("actor_id"), F.get_json_object("props", "$.k").try_cast("bigint").alias("target_id"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", S.mapped(F.col("event_type"), _DOMAIN).alias("source_domain"), F.col("value").alias("amount"))
 
 
 def r7(c: Column | str, name: str) -> Column:
