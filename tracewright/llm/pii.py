@@ -182,6 +182,8 @@ def candidates(line: str, lex: Lexicon, drop: random.Random | None = None, label
         text = m.group()
         if text[0] == "(" and ")" not in text:
             a, text = a + 1, text[1:]
+        if re.fullmatch(r"\d+\.\d+", text):  # a measure
+            continue
         feats = _number_features(text) + _context(line, a, b)
         low = line[max(0, a - 24) : a].lower()
         phone = bool(re.search(r"(tel|phone|fon|call|telefon|ring|txt me|téléphone|teléfono|mobile|móvil)\W{0,4}$", low)) or text[0] == "+"
