@@ -7,6 +7,7 @@ Only where nothing is set (tests, a laptop) a folder of this process is used.
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -69,21 +70,24 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, once per application.
 
-    Where the package is installed or on their path already this changes nothing; the archive is what is served
-    otherwise.
+    The archive lies in the shared folder.
     """
     sc = spark.sparkContext
     if getattr(sc, "_tracewright_shipped", False):
         return
-    here = os.path.dirname(os.path.abspath(__file__))
-    tmp = tempfile.mkdtemp(prefix="tracewright-code-")
-    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
-    archive = os.path.join(tmp, "tracewright_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    here, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for at, _, names in os.walk(here):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(at, n)
                     z.write(full, os.path.join("tracewright", os.path.relpath(full, here)))
+    archive = f"{shared_dir(spark)}/tracewright_{uuid.uuid4().hex}.zip"
+    at = sc._jvm.org.apache.hadoop.fs.Path(archive)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(at)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    fs.deleteOnExit(at)
     sc.addPyFile(archive)
     sc._tracewright_shipped = True
