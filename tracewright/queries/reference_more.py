@@ -418,3 +418,67 @@ def st8_running_state(spark, d):
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("actor_id", "event_type").agg(F.max_by(F.struct("n", "total", "largest"), "batch").alias("x"))
     return last.select("actor_id", "event_type", "x.n", F.round("x.total", 7).alias("total"), "x.largest")
+
+
+# ---- sequences, conflict, sessions of state ----
+
+
+@query("WITH {ev} SELECT actor_id, string_agg(event_type, ',' ORDER BY t, event_id) AS sequence FROM ev GROUP BY 1")
+def seq3_sequences(spark, d):
+    s = events(spark, d).groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))["event_type"].alias("x"))
+    return s.select("actor_id", F.array_join("x", ",").alias("sequence"))
+
+
+@query()
+def seq5_warping(spark, d):
+    """Dynamic time warping of each user's last ten amounts and gaps against the next user's."""
+    from tracewright.operators import sequences
+
+    e = validate.numbered(temporal.gaps(events(spark, d)), ["actor_id"], [F.desc("t"), F.desc("event_id")], "rn").where("rn <= 10")
+    s = e.groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.array(F.col("amount") / 100, F.least(F.coalesce("gap_s", F.lit(0.0)) / 3600, F.lit(1.0))).alias("v"))))["v"].alias("a"))
+    other = s.select((F.col("actor_id") - 1).alias("actor_id"), F.col("a").alias("b"))
+    return sequences.dtw_scores(s.join(other, "actor_id"), "a", "b").select("actor_id", "dtw", "similarity")
+
+
+@query()
+def seq13_series_motifs(spark, d):
+    """The most alike pair of weeks in each user's daily totals."""
+    from tracewright.operators import sequences
+
+    daily = R._daily(spark, d).groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("d", "v")))["v"].alias("xs"))
+    return sequences.series_motifs(daily, "actor_id", "xs", 7)
+
+
+@query("WITH " + R._SCORES + ", p AS (SELECT c_custkey, 'a-b' AS pair, abs(a - b) AS gap FROM x WHERE a IS NOT NULL UNION ALL SELECT c_custkey, 'a-c', abs(a - c) FROM x WHERE a IS NOT NULL UNION ALL SELECT c_custkey, 'b-c', abs(b - c) FROM x) SELECT c_custkey, arg_max(pair, (gap, pair)) AS pair, round(max(gap), 7) AS gap FROM p GROUP BY 1")
+def cf2_worst_pairs(spark, d):
+    x = R._domain_scores(spark, d)
+    pairs = F.array(*[F.struct(F.abs(F.col(a) - F.col(b)).alias("gap"), F.lit(f"{a}-{b}").alias("pair")) for a, b in (("a", "b"), ("a", "c"), ("b", "c"))])
+    worst = F.array_max(F.filter(pairs, lambda p: p["gap"].isNotNull()))
+    return x.select("c_custkey", worst.alias("w")).select("c_custkey", F.col("w.pair").alias("pair"), F.round("w.gap", 7).alias("gap"))
+
+
+@query("WITH {ev}, f AS (SELECT actor_id, event_type AS feature, 1 AS store, CAST(count(*) AS DOUBLE) AS v FROM ev GROUP BY 1, 2 UNION ALL SELECT actor_id, event_type, 2, sum(amount) FROM ev WHERE amount > 100 GROUP BY 1, 2) SELECT actor_id, feature, round(arg_max(v, store), 7) AS v FROM f GROUP BY 1, 2")
+def jn9_last_store_wins(spark, d):
+    e = events(spark, d)
+    one = e.groupBy("actor_id", F.col("event_type").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("v")).withColumn("store", F.lit(1))
+    two = e.where("amount > 100").groupBy("actor_id", F.col("event_type").alias("feature")).agg(F.sum("amount").alias("v")).withColumn("store", F.lit(2))
+    return one.unionByName(two).groupBy("actor_id", "feature").agg(F.round(F.max_by("v", "store"), 7).alias("v"))
+
+
+@query("WITH {ev}, m AS (SELECT actor_id, source_domain, max(amount) AS x FROM ev GROUP BY 1, 2) SELECT a.actor_id, a.source_domain AS da, b.source_domain AS db, round(abs(a.x - b.x), 7) AS gap FROM m a JOIN m b ON a.actor_id = b.actor_id AND a.source_domain < b.source_domain")
+def jn22_domain_pairs(spark, d):
+    m = events(spark, d).groupBy("actor_id", "source_domain").agg(F.max("amount").alias("x"))
+    # At most one row a domain and entity: ten pairs.
+    j = m.select("actor_id", F.col("source_domain").alias("da"), F.col("x").alias("xa")).join(m.select("actor_id", F.col("source_domain").alias("db"), F.col("x").alias("xb")), "actor_id").where("da < db")
+    return j.select("actor_id", "da", "db", F.round(F.abs(F.col("xa") - F.col("xb")), 7).alias("gap"))
+
+
+@query("WITH {ev}, m AS (SELECT actor_id, max(t) - min(t) AS span FROM ev GROUP BY 1) SELECT actor_id, round(least(greatest(1 - span / 1e6 / 2592000.0, 0.05), 1.0), 7) AS coherence FROM m")
+def fu9_temporal_coherence(spark, d):
+    m = events(spark, d).groupBy("actor_id").agg(((F.max("t") - F.min("t")) / 1e6).alias("span"))
+    return m.select("actor_id", r7(fusion.temporal_coherence(F.col("span"), 2592000.0), "coherence"))
+
+
+@query("SELECT case_id, officer_id, count(*) AS n FROM features5_6_events WHERE case_id = 'CASE-HUB-0001' AND officer_id IS NOT NULL GROUP BY 1, 2")
+def src17_case_log(spark, d):
+    return table(spark, d, "features5_6_events").where("case_id = 'CASE-HUB-0001' and officer_id is not null").groupBy("case_id", "officer_id").agg(F.count(F.lit(1)).alias("n"))
