@@ -75,6 +75,25 @@ def test_retrieval_is_exact(tables):
             assert got[r][1] == pytest.approx(best[1])
 
 
+def test_weak_tokens_alone_match(spark):
+    """Pairs that share only a name part and a city are scored too, and tokens of any frequency count."""
+    left = [(f"L{i:03d}", f"Al{'abcdefghij'[i % 10]} Bo{'klmnopqrst'[i // 10 % 10]}", None, None, None, "Millford", 1950 + i % 7) for i in range(300)]
+    right = [(f"R{i:03d}", p[1].split(" ")[1], None, None, None, p[5], None) for i, p in enumerate(left)]
+    lhs, rhs = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    got = {r["r"]: (r["l"], r["score"]) for r in M.match(lhs, rhs, COLS, COLS, least=0.0, weak=True).collect()}
+    lt, rt = ({r["id"]: set(r["toks"]) for r in M.tokens(t, **COLS).collect()} for t in (lhs, rhs))
+    n, df = len(lt) + len(rt), {}
+    for ts in [*lt.values(), *rt.values()]:
+        for t in ts:
+            df[t] = df.get(t, 0) + 1
+    w = {t: np.log1p((n - d + 0.5) / (d + 0.5)) * M.FIELD[t[:2]] for t, d in df.items()}
+    width = np.mean([len(t) for t in lt.values()])
+    assert len(got) == 300 and M.match(lhs, rhs, COLS, COLS, least=0.0).count() == 0
+    for r, ts in rt.items():
+        best = max(sum(w[t] for t in ts & us) * (M.K1 + 1) / (1 + M.K1 * (1 - M.B + M.B * len(us) / width)) for us in lt.values())
+        assert got[r][1] == pytest.approx(best)
+
+
 def test_edges(spark, tables):
     left, right, _ = tables
     assert M.match(left.limit(0), right, COLS, COLS).count() == 0 and M.match(left, right.limit(0), COLS, COLS).count() == 0

@@ -1,29 +1,33 @@
 """Matching entities across sources without keys: cross-table retrieval with calibrated confidence.
 
 Every description becomes a set of tokens over all its attributes. The left table is an inverted index, the right one the
-queries; a pair's score is BM25 over the shared tokens. Retrieval is exact: of a query's tokens, weak kinds first and
-then by weight, the lightest that together stay under the score a match must reach cannot make one alone, so only the
-others are looked up and everything found by them is scored in full. Of the candidates the nearest is kept if it is mutual, and the gap to the
+queries; a pair's score is BM25 over the shared tokens. Retrieval is exact: both
+tables are cut into blocks, and every block of one meets every block of the other, where all pairs that share a token are
+scored over its postings. Of the candidates the nearest is kept if it is mutual, and the gap to the
 runner-up becomes a confidence through a logistic model.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import materialize
+from tracewright.session import materialize, ship
 
 K1, B = 1.2, 0.3
 #: A match must reach this part of what the query would score against itself.
 LEAST = 0.15
-#: A token of more than this part of all descriptions (and of more than FEW) is no evidence by itself, nor is one of
-#: these kinds: single name parts, their beginnings, cities and years. They count in the score of pairs that other tokens
-#: bring together.
+#: A token of more than this part of all descriptions (and of more than FEW) is weak evidence by itself, and so is one of
+#: these kinds: single name parts, their beginnings, cities and years.
 COMMON = 1 / 5000
 FEW = 20
 WEAK = ("nm", "n4", "ct", "yr")
+#: Descriptions of one side in a block; one task scores one block of each side.
+CELL = 10_000
 #: At most so many queries are used to fit the calibration.
 SAMPLE = 20_000
 
@@ -75,7 +79,7 @@ def tokens(df: DataFrame, key: str, name: str, phone: str, device: str, subnet:
     return united
 
 
-def match(left: DataFrame, right: DataFrame, left_columns: dict[str, str], right_columns: dict[str, str], sample: int = SAMPLE, least: float = 0.5, detail: bool = False) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, left_columns: dict[str, str], right_columns: dict[str, str], sample: int = SAMPLE, least: float = 0.5, detail: bool = False, weak: bool = False) -> DataFrame:
     """Pairs (l, r, score, confidence), with ``detail`` also what the calibration saw: for each right description the left one it is the same as, if any.
 
     ``*_columns`` name the columns for key, name, phone, device, subnet, city and year. A left entity may have several
@@ -84,8 +88,8 @@ def match(left: DataFrame, right: DataFrame, left_columns: dict[str, str], right
     of them and equal name and year, stand for matches, their runners-up (with the gap to the third) for what remains when the true entity
     is absent.
 
-    A pair that shares only weak tokens (see ``COMMON`` and ``WEAK``) is not a candidate; every other pair that reaches
-    ``LEAST`` is scored, so no cap on candidates is needed. Ties go to the smaller left id. Missing
+    Every pair that reaches ``LEAST`` is scored, without a cap on candidates; without ``weak`` only those that share a
+    token that is not weak (see ``COMMON`` and ``WEAK``). Ties go to the smaller left id. Missing
     attributes neither help nor hurt; descriptions without any attribute, empty tables and null ids match nothing.
     """
     lhs = materialize(tokens(left, **left_columns))
@@ -101,49 +105,57 @@ def match(left: DataFrame, right: DataFrame, left_columns: dict[str, str], right
     width = lhs.agg(F.avg(F.size("toks"))).first()[0] or 1.0
 
     df = lhs.select(F.explode("toks").alias("tok")).union(rhs.select(F.explode("toks").alias("tok"))).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    df = materialize(df.where("df > 1"))
+    df = materialize(df.where("df > 1").withColumn("no", F.monotonically_increasing_id()))
     # Of tokens this common there are at most (tokens per description) / COMMON.
     limit = max(n * COMMON, FEW)
-    common = F.broadcast(df.where(F.col("df") > limit).select("tok", F.col("df").alias("df_c")))
-    rare = df.where(F.col("df") <= limit)
+    common = F.broadcast(df.where(F.col("df") > limit).select("tok", F.struct("df", "no").alias("c")))
+    rare = df.where(F.col("df") <= limit).select("tok", F.struct("df", "no").alias("c"))
     factor = F.create_map(*[x for k, v in FIELD.items() for x in (F.lit(k), F.lit(v))])
     idf = lambda d: F.log1p((F.lit(float(n)) - d + 0.5) / (d + 0.5))
 
-    exploded = rhs.select("id", F.explode("toks").alias("tok")).join(common, "tok", "left")
-    hot = exploded.where("df_c is not null").select("id", "tok", F.col("df_c").alias("df"), F.lit(False).alias("strong"))
-    cold = exploded.where("df_c is null").select("id", "tok").join(rare, "tok", "left").select("id", "tok", F.coalesce("df", F.lit(1)).alias("df"), (~F.substring("tok", 1, 2).isin(*WEAK)).alias("strong"))
-    weighed = hot.union(cold).withColumn("w", idf(F.col("df")) * factor[F.substring("tok", 1, 2)])
-    queries = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("strong", "w", "tok", "df"))).alias("q"), F.sum("w").alias("self"))
-    # No weight grows by more than this through the length of what it is found in.
-    most = (K1 + 1) / (1 + K1 * (1 - B))
+    def numbered(side: DataFrame) -> DataFrame:
+        every = side.select("id", F.explode("toks").alias("tok")).join(common, "tok", "left")
+        hot = every.where("c is not null").select("id", "tok", "c")
+        return hot.union(every.where("c is null").select("id", "tok").join(rare, "tok", "left").select("id", "tok", "c"))
+
+    alone = F.lit(weak) | (F.coalesce("c.df", F.lit(1)) <= limit) & ~F.substring("tok", 1, 2).isin(*WEAK)
+    weighed = numbered(rhs).select("id", "tok", "c.no", alone.alias("alone"), (idf(F.coalesce("c.df", F.lit(1))) * factor[F.substring("tok", 1, 2)]).alias("w"))
+    queries = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("w", "tok", "no", "alone"))).alias("q"), F.sum("w").alias("self"))
     queries = materialize(queries.withColumn("need", F.col("self") * LEAST))
-    light = F.aggregate(
-        "q",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda a, x: F.when((a["n"] < 0) | (x["strong"] & (a["sum"] + x["w"] * most >= F.col("need"))), F.struct(a["sum"].alias("sum"), F.when(a["n"] < 0, a["n"]).otherwise(-a["n"] - 1).alias("n"))).otherwise(F.struct((a["sum"] + x["w"] * most).alias("sum"), (a["n"] + 1).alias("n"))),
-    )
-    looked = queries.select("id", F.col("q"), light["n"].alias("n")).select("id", F.explode(F.when(F.col("n") < 0, F.slice("q", -F.col("n"), F.size("q") + F.col("n") + 1)).otherwise(F.array().cast(queries.schema["q"].dataType))).alias("x"))
-    looked = looked.where("x.strong and x.df > 1").select(F.col("id").alias("r"), "x.tok")
-    pairs = looked.join(lhs.select(F.col("id").alias("l"), F.explode("toks").alias("tok")), "tok").select("l", "r").distinct()
+    sizes = numbered(lhs).groupBy("id").agg(F.collect_list("c.no").alias("nos"), F.count(F.lit(1)).alias("size"))
+    norm_of = lambda size: (K1 + 1) / (F.lit(1.0) + K1 * (1 - B + B * size / F.lit(float(width))))
+    held = materialize(sizes.where(F.size("nos") > 0).select(F.col("id").alias("l"), "nos", norm_of(F.col("size")).alias("norm")))
+
+    # Every block of the left table meets every block of the right one.
+    lefts, rights = math.ceil(n_left / CELL), math.ceil(n_right / CELL)
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    known = F.filter("q", lambda x: x["no"].isNotNull())
+    lcell = held.select("l", "nos", "norm", block("l", lefts).alias("lb"), all_of(rights).alias("rb"))
+    rcell = queries.where(F.size(known) > 0).select(F.col("id").alias("r"), known["no"].alias("nos"), known["w"].alias("ws"), known["alone"].alias("alone"), "need", "self", block("id", rights).alias("rb"), all_of(lefts).alias("lb"))
+    ship(spark)
+    kl, kr = lhs.schema["id"].dataType.simpleString(), rhs.schema["id"].dataType.simpleString()
+    cells = lcell.groupBy("lb", "rb").cogroup(rcell.groupBy("lb", "rb")).applyInPandas(_cell, f"l {kl}, r {kr}, score double, best double")
+    cells = materialize(cells)
+    best = cells.where("r is null").groupBy("l").agg(F.max("best").alias("best"))
+    w = Window.partitionBy("r").orderBy(F.desc("score"), "l")
+    # The third only tells the second's gap.
+    near = cells.where("r is not null").withColumn("rank", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("rank <= 2").select("l", "r", "score", "rank", "next")
 
-    scored = pairs.join(lhs.select(F.col("id").alias("l"), "toks", F.col("name").alias("ln"), F.col("year").alias("ly")), "l").join(queries.join(rhs.select("id", "name", "year"), "id").select(F.col("id").alias("r"), "q", "self", "need", F.col("name").alias("rn"), F.col("year").alias("ry")), "r")
+    scored = near.join(lhs.select(F.col("id").alias("l"), "toks", F.col("name").alias("ln"), F.col("year").alias("ly")), "l").join(queries.join(rhs.select("id", "name", "year"), "id").select(F.col("id").alias("r"), "q", "self", F.col("name").alias("rn"), F.col("year").alias("ry")), "r")
     shared = F.filter("q", lambda x: F.array_contains("toks", x["tok"]))
-    norm = (K1 + 1) / (F.lit(1.0) + K1 * (1 - B + B * F.size("toks") / F.lit(float(width))))
     kinds = F.transform(shared, lambda x: F.substring(x["tok"], 1, 2))
-    scored = scored.withColumn("kinds", kinds).withColumn("score", F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"]) * norm).where("score >= need")
+    scored = scored.withColumn("kinds", kinds)
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     has = lambda *ks: F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in ks]))
     scored = scored.select(
-        "l", "r", "score", (F.col("score") / F.col("self")).alias("sim"), yes(F.col("ly") != F.col("ry")).alias("other_year"),
+        "l", "r", "score", "rank", "next", (F.col("score") / F.col("self")).alias("sim"), yes(F.col("ly") != F.col("ry")).alias("other_year"),
         yes(F.col("ln").isNotNull() & F.col("rn").isNotNull() & ~has("ni", "nm", "n4")).alias("other_name"),
         yes(F.col("ln").isNotNull() & F.col("rn").isNotNull() & ~has("ni") & has("nm", "n4")).alias("part_name"),
         yes(has("ni")).alias("same_name"), yes(has("yr")).alias("same_year"), yes(has("ph", "dv")).alias("same_number"), yes(has("ph") & has("dv")).alias("both_numbers"), yes(has("ph", "pa", "pb", "pc", "dv") & has("yr")).alias("number_year"), yes(has("ph", "pa", "pb", "pc", "dv") & has("ni", "nm", "n4")).alias("number_name"), yes(has("ph", "pa", "pb", "pc")).alias("near_phone"), yes(has("dv")).alias("same_device"), yes(has("sn")).alias("same_net"),
     )
     scored = materialize(scored)
-    w = Window.partitionBy("r").orderBy(F.desc("score"), "l")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("rank <= 2")
-    best = scored.groupBy("l").agg(F.max("sim").alias("best"))
-    ranked = ranked.join(best, "l").withColumn("gap", (F.col("score") - F.col("next")) / F.col("score")).withColumn("mutual", F.col("sim") / F.col("best"))
+    ranked = scored.join(best, "l").withColumn("gap", (F.col("score") - F.col("next")) / F.col("score")).withColumn("mutual", F.col("sim") / F.col("best"))
 
     share = min(1.0, 1.2 * sample / n_right)
     told = ranked.where(F.pmod(F.xxhash64("r"), F.lit(1_000_000)) < int(share * 1_000_000)).select("r", "rank", "same_number", "both_numbers", *features).limit(2 * sample).toPandas()
@@ -158,6 +170,45 @@ def match(left: DataFrame, right: DataFrame, left_columns: dict[str, str], right
     return final.where(F.col("confidence") >= least).select("l", "r", "score", "confidence", *shown)
 
 
+def _cell(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+    """The three nearest of a left block to every query of a right block that reach its ``need``, and, with r null, each left id's best part of a query's own score."""
+    columns = ["l", "r", "score", "best"]
+    if lhs.empty or rhs.empty:
+        return pd.DataFrame([], columns=columns)
+    lhs = lhs.sort_values("l", kind="stable")
+    ids, norm, size = lhs["l"].to_numpy(), lhs["norm"].to_numpy(float), lhs["nos"].map(len).to_numpy()
+    no, row = np.concatenate(lhs["nos"].to_list()), np.repeat(np.arange(len(lhs)), size)
+    order = np.argsort(no, kind="stable")
+    row = row[order]
+    token, first, count = np.unique(no[order], return_index=True, return_counts=True)
+    best, found = np.zeros(len(lhs)), []
+    for r, nos, ws, alone, need, own in zip(rhs["r"], rhs["nos"], rhs["ws"], rhs["alone"], rhs["need"], rhs["self"], strict=True):
+        at = np.minimum(np.searchsorted(token, nos), len(token) - 1)
+        hit = np.flatnonzero(token[at] == nos)
+        if not len(hit):
+            continue
+        at = at[hit]
+        posted = np.concatenate([row[first[k] : first[k] + count[k]] for k in at])
+        score = np.bincount(posted, np.repeat(np.asarray(ws)[hit], count[at]), len(lhs)) * norm
+        alone = np.asarray(alone, bool)[hit]
+        enough = (score >= need) & (score > 0)
+        if not alone.all():
+            enough &= np.bincount(posted, np.repeat(alone, count[at]), len(lhs)) > 0
+        near = np.flatnonzero(enough)
+        if not len(near):
+            continue
+        s = score[near]
+        best[near] = np.maximum(best[near], s / own)
+        if len(near) > 3:
+            keep = s >= np.partition(s, -3)[-3]
+            near, s = near[keep], s[keep]
+        for k in np.lexsort((near, -s))[:3]:
+            found.append((ids[near[k]], r, s[k], None))
+    seen = np.flatnonzero(best)
+    told = pd.DataFrame({"l": ids[seen], "r": None, "score": None, "best": best[seen]}, columns=columns, dtype=object)
+    return pd.concat([pd.DataFrame(found, columns=columns, dtype=object), told])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights (constant first) of a ridge logistic regression by Newton's method; of one class only, a constant that says so."""
     if len(y) == 0 or y.min() == y.max():

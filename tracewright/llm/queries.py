@@ -22,7 +22,7 @@ _RAW = _PROFILE | {"key": "raw_id", "name": "actor_name"}
 
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of descriptions of one party with score and confidence."""
-    found = matching.match(spark.read.parquet(f"{d}/entity_profile.parquet"), spark.read.parquet(f"{d}/raw_identity.parquet"), _PROFILE, _RAW)
+    found = matching.match(spark.read.parquet(f"{d}/entity_profile.parquet"), spark.read.parquet(f"{d}/raw_identity.parquet"), _PROFILE, _RAW, weak=True)
     return found.select(F.col("l").alias("canonical_entity_id"), F.col("r").alias("raw_id"), "score", "confidence")
 
 
