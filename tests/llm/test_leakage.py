@@ -55,3 +55,40 @@ def test_leaks(spark, monkeypatch):
     got = sorted((r["doc_id"], r["item_id"], r["passage_share"], r["tile_share"]) for r in K.leaks(d, i).collect())
     assert got == [(1, 10, 1.0, 1.0), (1, 10, 1.0, 1.0), (2, 10, 0.4, 0.4), (6, 10, 0.5, 1.0), (7, 11, 1.0, 1.0)]
     assert K.leaks(d.limit(0), i).count() == 0 and K.leaks(d, i.limit(0)).count() == 0
+
+
+def _longest(doc, item, edits):
+    """Brute force: item words from first to last equal word of the longest part within so many edits of a part of the document."""
+    best = 0
+    for i in range(len(doc)):
+        for j in range(len(item)):
+            if doc[i] != item[j]:
+                continue
+            m, n = min(len(doc) - i, len(item) - j + edits), len(item) - j
+            row = list(range(n + 1))
+            for a in range(1, m + 1):
+                prev, row = row, [a] + [0] * n
+                for b in range(1, n + 1):
+                    same = doc[i + a - 1] == item[j + b - 1]
+                    row[b] = min(prev[b - 1] + (not same), prev[b] + 1, row[b - 1] + 1)
+                    if same and prev[b - 1] <= edits:
+                        best = max(best, b)
+    return best
+
+
+def test_passage_is_exact(spark):
+    """Short runs between changed words, and passages whose item words a longer quote elsewhere has marked, count in full."""
+    close = WORDS[:6] + ["a"] + WORDS[7:8] + ["b"] + WORDS[9:18]  # two changes with one word between them
+    twice = WORDS[10:30] + ["x"] * 9 + WORDS[3:9] + ["y"] + WORDS[10:14] + ["z"] + WORDS[15:24]
+    rng = random.Random(8)
+    docs = [close, twice, WORDS[:5] + ["a", "b"] + WORDS[5:9] + ["c"] + WORDS[10:17]]
+    for _ in range(40):
+        w = list(WORDS[(s := rng.randrange(15)) : s + rng.randrange(16, 26)])
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(2)] = [rng.choice(["q", *WORDS])] * rng.randrange(2)
+        docs.append(["x"] * rng.randrange(4) + w + rng.choices(WORDS, k=rng.randrange(6)))
+    want = {i: n / 40 for i, d in enumerate(docs) if (n := _longest(d, WORDS, 3)) >= 16}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["passage_share"] for r in K.leaks(d, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect() if r["passage_share"] >= 0.4}
+    assert got == want and {0, 2} <= set(want)

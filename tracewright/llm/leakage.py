@@ -3,8 +3,8 @@
 Word triples that a document shares with an item are its seeds. Seeds on one diagonal join to maximal matches, of which
 the longest that does not overlap what is already marked is marked as a tile, again and again, until none of the seed's
 length is left (running Karp-Rabin hashing of word windows finds the seeds). The share of an item's words under tiles
-tells leaks even where passages were put in another order; a chain of tiles in order, with few words between them, is
-one quoted passage.
+tells leaks even where passages were put in another order. One quoted passage is what every seed run, marked or not, reaches in both
+directions by banded edit distance over the words.
 """
 
 from __future__ import annotations
@@ -150,6 +150,50 @@ def passage(ts: list[tuple[int, int, int]], edits: int) -> int:
     return best
 
 
+def _reach(a: list[int], x: int, b: list[int], y: int, edits: int) -> list[int]:
+    """How many words of ``b`` from ``y`` on up to 0, 1, .. ``edits`` edits reach against ``a`` from ``x`` on, ending on an equal word.
+
+    The furthest place in ``b`` on each diagonal is kept for every number of edits; following equal words is never worse.
+    """
+    na, nb, best, out, row = len(a), len(b), 0, [], {0: y}
+    for e in range(edits + 1):
+        if e:
+            above: dict[int, int] = {}
+            for k, j in row.items():
+                # A changed word, a word of b dropped, a word of a added.
+                for kk, jj in ((k, j + 1), (k - 1, j + 1), (k + 1, j)):
+                    if jj <= nb and x + jj - y + kk <= na and jj > above.get(kk, -1):
+                        above[kk] = jj
+            row = above
+        for k, j in row.items():
+            i, j0 = x + j - y + k, j
+            while j < nb and i < na and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            row[k] = j
+            if j > j0:
+                best = max(best, j - y)
+        out.append(best)
+    return out
+
+
+def extent(doc: list[int], item: list[int], at: np.ndarray, pos: np.ndarray, seed: int, edits: int) -> int:
+    """The most item words, from first to last equal word, of a passage with at most ``edits`` words changed, dropped or added that holds one of the seeds."""
+    order = np.lexsort((at, at - pos))
+    a, p = at[order], pos[order]
+    cut = np.flatnonzero((np.diff(a) != 1) | (np.diff(p) != 1)) + 1
+    best, back = 0, item[::-1]
+    for g in np.split(np.arange(len(a)), cut):
+        n, x, y = len(g) + seed - 1, int(a[g[0]]), int(p[g[0]])
+        # No passage is longer than the item, and of the document only so much can lie in it.
+        far = len(item) + edits
+        right = _reach(doc[x + n : x + n + far], 0, item, y + n, edits)
+        left = _reach(doc[max(0, x - far) : x][::-1], 0, back, len(item) - y, edits)
+        best = max(best, n + max(left[e] + right[edits - e] for e in range(edits + 1)))
+        if best == len(item):
+            break
+    return best
+
+
 def leaks(documents: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id", item: str = "item_id", item_text: str = "text", share: float = SHARE, edits: int = EDITS, seed: int = SEED) -> DataFrame:
     """Pairs of documents and items that share tiles: (doc, item, passage_share, tile_share).
 
@@ -196,7 +240,7 @@ def _search(shared):
             order = np.lexsort((item, row))
             at, item, pos, row = at[order], item[order], pos[order], row[order]
             cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-            found = []
+            found, held, doc = [], -1, []
             for g in np.split(np.arange(len(at)), cut) if len(at) else ():
                 k = int(item[g[0]])
                 size = len(block.coded[k])
@@ -205,9 +249,15 @@ def _search(shared):
                 if len(np.unique(pos[g])) < max(1, need - block.edits - (block.seed - 1) * (block.edits + 1)):
                     continue
                 ts = tiles(at[g] - first[row[g[0]]], pos[g], block.seed)
-                whole, covered = passage(ts, block.edits) / size, sum(t[2] for t in ts) / size
+                r = int(row[g[0]])
+                if r != held:
+                    held, doc = r, coded[r].tolist()
+                most = passage(ts, block.edits)
+                if most < size:
+                    most = extent(doc, block.coded[k].tolist(), at[g] - first[r], pos[g], block.seed, block.edits)
+                whole, covered = most / size, sum(t[2] for t in ts) / size
                 if max(whole, covered) >= block.share:
-                    found.append((pdf["d"].iloc[int(row[g[0]])], block.ids[k], whole, covered))
+                    found.append((pdf["d"].iloc[r], block.ids[k], whole, covered))
             yield pd.DataFrame(found, columns=["d", "i", "passage_share", "tile_share"])
 
     return run
