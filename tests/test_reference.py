@@ -99,6 +99,35 @@ def test_ancestors_and_cycle(spark):
     assert {(4, 1, 3), (4, 2, 2), (2, 1, 1), (8, 8, 2)} <= got
 
 
+def test_ancestors_of_long_chains(spark):
+    links = [(i + 1, i) for i in range(100)] + [(100, 40), (200, 201), (201, 202), (202, 200)]
+    up = {}
+    for c, p in links:
+        up.setdefault(c, []).append(p)
+    want = {}
+    for n in up:
+        k, now = 1, set(up[n])
+        while now:
+            for a in now:
+                want.setdefault((n, a), k)
+            k, now = k + 1, {q for a in now for q in up.get(a, ()) if (n, q) not in want}
+    got = [(r["node"], r["ancestor"], r["depth"]) for r in graph.ancestors(spark.createDataFrame(links, "c int, p int"), "c", "p").collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
+def test_closure_covers_all_documents(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "parent_doc_id", "revision_no").collect()
+    up = {r["doc_id"]: r["parent_doc_id"] for r in docs}
+    want = set()
+    for n in up:
+        a, k = up[n], 1
+        while a is not None:
+            want.add((n, a, k))
+            a, k = up.get(a), k + 1
+    assert {tuple(r) for r in Q["gr18_closure"](spark, D).collect()} == want and max(k for *_, k in want) > 2
+
+
 def test_masses_follow_the_fold(spark):
     def python(ms):
         a, n, t, c = 0.0, 0.0, 1.0, 0.0

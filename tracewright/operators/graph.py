@@ -114,20 +114,24 @@ def common_counterparties(edges: DataFrame, a, b) -> DataFrame:
     return side(a, "events_a").join(side(b, "events_b"), "dst").withColumnRenamed("dst", "id")
 
 
-def ancestors(links: DataFrame, child: str, parent: str, rounds: int = 30) -> DataFrame:
+def ancestors(links: DataFrame, child: str, parent: str) -> DataFrame:
     """Transitive closure (node, ancestor, depth) of parent links; depth is the least. A cycle shows as a node that is its own ancestor.
 
-    Each round looks up the parents of what the round before found, so it ends after the longest chain.
+    Each round doubles the reach: what lies exactly at it is joined with all that is known, so no pair is built twice on a
+    chain, and the number of rounds is the logarithm of the longest one. It ends when a round finds nothing new.
     """
-    e = materialize(links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct())
-    closed = new = materialize(e.withColumn("depth", F.lit(1)))
-    for k in range(2, rounds + 1):
-        step = new.select("node", F.col("ancestor").alias("mid")).join(e.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct()
-        new = materialize(step.join(closed.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(k)))
+    e = links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct()
+    closed = materialize(e.withColumn("depth", F.lit(1)))
+    reach = 1
+    while True:
+        far = closed.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("mid"))
+        on = closed.select(F.col("node").alias("mid"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        step = far.join(on, "mid").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        new = materialize(step.join(closed.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         if new.isEmpty():
-            break
+            return closed
         closed = materialize(closed.unionByName(new))
-    return closed
+        reach *= 2
 
 
 def newest_events(events: DataFrame, n: int, t: str = "t", key: str = "event_id") -> DataFrame:

@@ -262,6 +262,12 @@ def gr18_lineage(spark, d):
     return close.where("depth <= 2").join(first, "ancestor", "left_semi").select("node", "ancestor", "depth")
 
 
+@query()
+def gr18_closure(spark, d):
+    """Every ancestor of every document; gr18_lineage holds to its SQL, which asks for first revisions at most two steps away."""
+    return graph.ancestors(table(spark, d, "documents"), "doc_id", "parent_doc_id")
+
+
 # ---- scalars ----
 
 
