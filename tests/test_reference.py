@@ -86,6 +86,23 @@ def test_large_block_stays_connected(spark):
     assert pairs.count() == 29 and linkage.clusters(pairs).select("component").distinct().count() == 1
 
 
+def test_no_pair_of_a_large_block_is_lost(spark):
+    df = spark.createDataFrame([(i, "k" if i < 30 else f"s{i // 2}") for i in range(40)], "id int, block string")
+    want = sorted((a, b) for a in range(40) for b in range(a + 1, 40) if b < 30 or (a >= 30 and a // 2 == b // 2))
+    for cell in (4, 10, 100):
+        assert sorted((r["left_id"], r["right_id"]) for r in linkage.pairs_within(df, "block", cell).collect()) == want
+
+
+def test_hot_subnet_keeps_clusters(spark, tmp_path):
+    """Two people with one device each behind a subnet of more than 5,000 records, none of them its least id."""
+    row = lambda i: (f"r{i:05d}", f"name {i}" if i < 5100 else f"twin {i // 2}", f"dev{i}" if i < 5100 else f"twin{i // 2}", "10.0.0.0/24", "x")
+    spark.createDataFrame([row(i) for i in range(5104)], "raw_id string, actor_name string, device_id string, ip_subnet string, home_city string").write.parquet(f"{tmp_path}/raw_identity.parquet")
+    from tracewright.queries import reference
+
+    scored = reference._scored(spark, str(tmp_path))
+    assert {tuple(r) for r in scored.where("p >= 0.6").select("left_id", "right_id").collect()} == {("r05100", "r05101"), ("r05102", "r05103")}
+
+
 def test_agreement_em(spark):
     rng = random.Random(4)
     rows = [tuple(int(rng.random() < (0.9 if m else 0.1)) for _ in range(3)) for m in (rng.random() < 0.3 for _ in range(3000))]

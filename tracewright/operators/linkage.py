@@ -29,23 +29,46 @@ def block_groups(records: DataFrame, rules: Mapping[str, Column], record_id: str
     return every.groupBy("match_key", "block").agg(F.countDistinct(record_id).alias("members"))
 
 
-def candidate_pairs(records: DataFrame, rules: Mapping[str, Column], record_id: str, max_block: int) -> DataFrame:
+def pairs_within(members: DataFrame, block: str, cell: int = 5000) -> DataFrame:
+    """All pairs (left_id < right_id, with ``block``) of the distinct rows (id, block) that share a block.
+
+    A block of more than ``cell`` members is cut into cells that meet two by two, so no task pairs more than two cells
+    of it and no pair is lost.
+    """
+    sizes = members.groupBy(block).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    m = members.join(sizes.select(block, F.ceil(F.col("n") / cell).cast("int").alias("cells")), block)
+    small = m.where("cells = 1").select(block, "id")
+    pairs = small.withColumnRenamed("id", "left_id").join(small.withColumnRenamed("id", "right_id"), block).where("left_id < right_id").select("left_id", "right_id", block)
+    m = m.where("cells > 1").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    m = m.select(block, "id", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    other = m.select(block, "p", "q", F.col("id").alias("right_id"), F.col("own").alias("own2"))
+    # Pairs of one cell meet only where the cell meets itself.
+    met = m.withColumnRenamed("id", "left_id").join(other, [block, "p", "q"]).where("left_id < right_id and (p = q or own <> own2)")
+    return pairs.unionByName(met.select("left_id", "right_id", block))
+
+
+def candidate_pairs(records: DataFrame, rules: Mapping[str, Column], record_id: str, max_block: int | None = None) -> DataFrame:
     """Distinct pairs (left_id < right_id) that share a block under some rule, with the first rule that brings them.
 
-    One equality join a rule. A block of more than ``max_block`` members is linked as a chain of neighbours in order of
-    id instead of all pairs: its members stay connected for :func:`clusters`, and no hot key multiplies its rows.
+    One equality join a rule, over all pairs of every block. With ``max_block``, a block of more members is linked to its
+    least id instead: its members stay connected for :func:`clusters`, but its other pairs are missing, so that is of use
+    only where the pairs themselves are not scored or counted.
     """
     parts = []
     for k, (rule, c) in enumerate(rules.items()):
         keyed = records.select(F.col(record_id).alias("id"), usable(c).alias("block")).where("block is not null").distinct()
-        sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        small = keyed.join(sizes.where(F.col("n") <= max_block).select("block"), "block")
-        pairs = small.select(F.col("id").alias("left_id"), "block").join(small.select(F.col("id").alias("right_id"), "block"), "block").where("left_id < right_id").select("left_id", "right_id")
-        # Chains: every member to the least of the block, an aggregate and no window.
-        large = keyed.join(sizes.where(F.col("n") > max_block).select("block"), "block")
-        least = large.groupBy("block").agg(F.min("id").alias("left_id"))
-        stars = large.join(least, "block").where("left_id < id").select("left_id", F.col("id").alias("right_id"))
-        parts.append(pairs.unionByName(stars).withColumn("rule", F.struct(F.lit(k).alias("k"), F.lit(rule).alias("name"))))
+        if max_block is None:
+            pairs = pairs_within(keyed, "block").select("left_id", "right_id")
+        else:
+            sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            small = keyed.join(sizes.where(F.col("n") <= max_block).select("block"), "block")
+            # Stars: every member to the least of the block, an aggregate and no window.
+            large = keyed.join(sizes.where(F.col("n") > max_block).select("block"), "block")
+            least = large.groupBy("block").agg(F.min("id").alias("left_id"))
+            stars = large.join(least, "block").where("left_id < id").select("left_id", F.col("id").alias("right_id"))
+            pairs = pairs_within(small, "block").select("left_id", "right_id").unionByName(stars)
+        parts.append(pairs.withColumn("rule", F.struct(F.lit(k).alias("k"), F.lit(rule).alias("name"))))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -203,7 +203,7 @@ _PAIRS = """k AS (SELECT DISTINCT raw_id AS id, 0 AS rule, 'ip_subnet' AS name,
 
 def _pairs(spark, d):
     raw = table(spark, d, "raw_identity")
-    return linkage.candidate_pairs(raw, {"ip_subnet": F.col("ip_subnet"), "device_id": F.col("device_id")}, "raw_id", max_block=5000)
+    return linkage.candidate_pairs(raw, {"ip_subnet": F.col("ip_subnet"), "device_id": F.col("device_id")}, "raw_id")
 
 
 @query("WITH " + _PAIRS + " SELECT * FROM pairs")
