@@ -233,3 +233,23 @@ def test_stream_deduplicates_across_batches(spark, tmp_path):
 def test_robust_z_guards(spark):
     r = spark.range(1).select(S.robust_z(F.lit(2.0), F.lit(1.0), F.lit(0.0), F.lit(0.0)), S.score_from_z(F.lit(0.0)), S.score_from_z(F.lit(2.0))).first()
     assert r[0] == pytest.approx(1e4) and r[1] == 0.05 and r[2] == pytest.approx(2 / (1 + math.exp(-1)) - 1)
+
+
+def _long_users(spark, tmp_path):
+    """Two users whose thirty events differ in the twenty-fifth only from the first's (type) and in the fifth (amount)."""
+    import datetime
+
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(u * 100 + i, u, at + datetime.timedelta(hours=i), "error" if u == 2 and i == 24 else "click", 500.0 if u == 2 and i == 4 else 100.0, "{}") for u in (1, 2) for i in range(30)]
+    like = spark.read.parquet(f"{D}/events.parquet").schema
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string")
+    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.fields]).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
+def test_whole_sequences_are_compared(spark, tmp_path):
+    d = _long_users(spark, tmp_path)
+    assert [tuple(r) for r in Q["str2_sequence_distances"](spark, d).collect()] == [(1, 1)]
+    got = Q["seq5_warping"](spark, d).collect()
+    assert len(got) == 1 and got[0]["dtw"] > 0

@@ -437,15 +437,23 @@ def seq3_sequences(spark, d):
 
 @query()
 def seq5_warping(spark, d):
-    """Dynamic time warping of each user's last ten amounts and gaps against the next user's."""
+    """Dynamic time warping of each user's amounts and gaps, in order of time, against the next user's."""
     from tracewright.operators import sequences
 
-    e = validate.numbered(temporal.gaps(events(spark, d)), ["actor_id"], [F.desc("t"), F.desc("event_id")], "rn").where("rn <= 10")
-    s = e.groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.array(F.col("amount") / 100, F.least(F.coalesce("gap_s", F.lit(0.0)) / 3600, F.lit(1.0))).alias("v"))))["v"].alias("a"))
+    e = temporal.gaps(events(spark, d))
+    s = e.groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", F.array(F.col("amount") / 100, F.least(F.coalesce("gap_s", F.lit(0.0)) / 3600, F.lit(1.0))).alias("v"))))["v"].alias("a"))
     other = s.select((F.col("actor_id") - 1).alias("actor_id"), F.col("a").alias("b"))
     return sequences.dtw_scores(s.join(other, "actor_id"), "a", "b").select("actor_id", "dtw", "similarity")
 
 
+@query()
+def str2_sequence_distances(spark, d):
+    """Edit distance of each user's whole event sequence to the next user's; str2_token_distances holds to its SQL, which reads the first twelve events."""
+    s = events(spark, d).groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))["event_type"].alias("w"))
+    other = s.select((F.col("actor_id") - 1).alias("actor_id"), F.col("w").alias("w2"))
+    return s.join(other, "actor_id").select("actor_id", S.token_levenshtein(F.col("w"), F.col("w2")).cast("bigint").alias("distance"))
+
+
 @query()
 def seq13_series_motifs(spark, d):
     """The most alike pair of weeks in each user's daily totals."""
