@@ -253,3 +253,15 @@ def test_whole_sequences_are_compared(spark, tmp_path):
     assert [tuple(r) for r in Q["str2_sequence_distances"](spark, d).collect()] == [(1, 1)]
     got = Q["seq5_warping"](spark, d).collect()
     assert len(got) == 1 and got[0]["dtw"] > 0
+
+
+def test_hub_counts_as_shared_counterparty(spark):
+    """A hub of more than max_degree ends counts in every pair, also in those that share nothing else."""
+    links = [(i, 0) for i in range(1, 31)] + [(1, 50), (2, 50), (7, 51), (9, 51)]
+    edges = spark.createDataFrame(links, "src int, dst int")
+    got = {(r["a"], r["b"]): r["shared"] for r in graph.shared_counterparties(edges, 10).collect()}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert got == {(a, b): n for a in near for b in near if a < b and (n := len(near[a] & near[b]))} and got[1, 2] == 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.linkage import pairs_within
 from tracewright.session import materialize
 
 
@@ -92,15 +93,13 @@ def shortest_path_length(edges: DataFrame, a, b, most: int = 12) -> DataFrame:
 
 
 def shared_counterparties(edges: DataFrame, max_degree: int = 10_000) -> DataFrame:
-    """(a, b, shared), a < b: how many neighbours two nodes have in common, over neighbours of at most ``max_degree`` ends.
+    """(a, b, shared), a < b: how many neighbours two nodes have in common.
 
-    A neighbour of more ends than that joins everything with everything and says nothing about a pair; it is named in
-    :func:`hub_neighbours` instead.
+    The ends of a neighbour with more than ``max_degree`` of them (see :func:`hub_neighbours`) are paired cell by cell, so
+    no task holds all of a hub's pairs; none is left out.
     """
-    near = undirected(edges)
-    small = near.groupBy("dst").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= max_degree).select("dst")
-    kept = near.join(small, "dst")
-    return kept.select(F.col("src").alias("a"), "dst").join(kept.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    near = undirected(edges).withColumnRenamed("src", "id")
+    return pairs_within(near, "dst", max_degree).groupBy(F.col("left_id").alias("a"), F.col("right_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def hub_neighbours(edges: DataFrame, max_degree: int = 10_000) -> DataFrame:
