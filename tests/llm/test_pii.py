@@ -85,3 +85,10 @@ def test_detect_and_redact(spark, model):
 def test_fit_without_any_evidence():
     lex, weights = pii.fit([], set(), set())
     assert pii.find("Call 555 010 0199 or a@b.example", lex, weights) == []
+
+
+def test_ordinary_words_of_all_documents(spark):
+    """Words in lower case count wherever they occur, not only in the sampled documents."""
+    docs = spark.createDataFrame([(i, f"Anna {w.title()} came") for i, w in enumerate(["miller", "baker", "stone"] * 20)] + [(100, "the baker ate"), (101, "a stone fell"), (102, None)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("anna", "given"), ("miller", "family")], "name_part string, part_kind string")
+    assert pii.train(docs, lexicon, docs=1)[0].ordinary == {"baker", "stone"}

@@ -49,6 +49,7 @@ _ADDRESS = (
 )
 _RUN = re.compile(rf"(?<![\w@]){_CAP}(?:\.(?=\s))?(?:,?[  ]{_CAP}(?:\.(?=\s))?)+")
 _PART = re.compile(r"[\w'’-]+\.?")
+_LOWER = re.compile(r"(?<![\w'’])[a-zà-ÿ]{3,}(?![\w'’])")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 Candidate = tuple[int, int, str, list[str]]
@@ -272,12 +273,14 @@ def marginals(found: list[Candidate], group: list[int], weights: dict[str, float
     return [fwd[a] * w * bwd[b] / fwd[-1] for a, b, w in edges]
 
 
-def fit(lines: list[str], given: set[str], family: set[str], epochs: int = 6, seed: int = 7) -> tuple[Lexicon, dict[str, float]]:
-    """Fit the field by conditional likelihood (AdaGrad) on the clusters of ``lines`` without doubtful candidates."""
+def fit(lines: list[str], given: set[str], family: set[str], epochs: int = 6, seed: int = 7, ordinary: set[str] | None = None) -> tuple[Lexicon, dict[str, float]]:
+    """Fit the field by conditional likelihood (AdaGrad) on the clusters of ``lines`` without doubtful candidates.
+
+    ``ordinary`` are the words that also occur in lower case; if not given, those of ``lines``.
+    """
     rng = random.Random(seed)
-    ordinary: set[str] = set()
-    for line in lines:
-        ordinary.update(re.findall(r"(?<![\w'’])[a-zà-ÿ]{3,}(?![\w'’])", line))
+    if ordinary is None:
+        ordinary = {w for line in lines for w in _LOWER.findall(line)}
     lex = Lexicon({g.lower() for g in given}, {f.lower() for f in family}, ordinary)
     kept = []
     for line in dict.fromkeys(lines):
@@ -352,13 +355,30 @@ def spans_of(text: str, lex: Lexicon, weights: dict[str, float], memo: dict[str,
     return out
 
 
+def ordinary_words(documents: DataFrame, text: str = "text") -> set[str]:
+    """The possible name parts of all documents that also occur in lower case in some document."""
+    ship(documents.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            low: set[str] = set()
+            part: set[str] = set()
+            for t in pdf["t"]:
+                low.update(_LOWER.findall(t))
+                part.update(m.group().rstrip(".").lower() for r in _RUN.finditer(t) for m in _PART.finditer(r.group()))
+            yield pd.DataFrame([(w, True, False) for w in low] + [(w, False, True) for w in part], columns=["w", "low", "part"])
+
+    words = documents.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "w string, low boolean, part boolean")
+    return {r[0] for r in words.groupBy("w").agg(F.max("low").alias("low"), F.max("part").alias("part")).where("low and part").select("w").collect()}
+
+
 def train(documents: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id", docs: int = SAMPLE_DOCS):
     """The fitted model from at most ``docs`` documents, chosen by a hash of the key, and the lexicon (name_part, part_kind)."""
     total = max(documents.count(), 1)
     share = min(1.0, 1.3 * docs / total)
     sample = documents.where((F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col(text).isNotNull()).select(text).limit(docs).collect()
     parts = lexicon.where("name_part is not null").select("name_part", "part_kind").collect()
-    return fit([x for r in sample for x in r[0].split("\n")], {p[0] for p in parts if p[1] == "given"}, {p[0] for p in parts if p[1] == "family"})
+    return fit([x for r in sample for x in r[0].split("\n")], {p[0] for p in parts if p[1] == "given"}, {p[0] for p in parts if p[1] == "family"}, ordinary=ordinary_words(documents, text))
 
 
 def detect(documents: DataFrame, model, text: str = "text", key: str = "doc_id") -> DataFrame:
