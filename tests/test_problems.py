@@ -190,7 +190,7 @@ def test_changes_empty(spark):
 
 @pytest.mark.parametrize("first", [True, False])
 def test_simultaneous_changes_are_chained(spark, first):
-    h = cdc.BUCKET
+    h = 3_600_000
     moves = [
         ("fits", 10, "NONE", "A"), ("fits", h + 5, "A", "B"), ("fits", h + 5, "B", "A"),  # only history tells: A > B > A
         ("plain", 5, "NONE", "A"), ("plain", 5, "A", "C"),
@@ -206,3 +206,39 @@ def test_simultaneous_changes_are_chained(spark, first):
     ranked = cdc.rank_simultaneous(df, ["k"], "at", "b", "a", "n").selectExpr("*", "CASE WHEN coalesce(a, 'NONE') = 'NONE' THEN 'D' ELSE 'U' END AS op")
     got = {r["k"]: r["a"] for r in cdc.apply_changes(ranked, ["k"], ["a"], "seq").collect()}
     assert got == {"fits": "A", "plain": "C", "unknown": "Q", "twice": "Y", "gone": "B", "single": "Z"}
+
+
+def walk(moves):
+    """The state after moves (at, before, after, tie) of one key, taken one by one."""
+    state = "NONE"
+    for at in sorted({m[0] for m in moves}):
+        todo = {}
+        for _, b, a, t in sorted((m for m in moves if m[0] == at), key=lambda m: m[3]):
+            todo.setdefault((b, a or "NONE"), t)
+        while todo:
+            left = sorted(todo, key=todo.get)
+            p = next((x for x in left if x[0] == state), None) or next((x for x in left if not any(y != x and y[1] == x[0] for y in left)), left[0])
+            state = p[1]
+            del todo[p]
+    return state
+
+
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_any_number_of_tied_instants(spark, monkeypatch, bits):
+    monkeypatch.setattr(cdc, "BITS", bits)
+    rng = random.Random(bits)
+    rows = []
+    for n in range(2, 8):  # n tied instants in a row, each of which only the state before it can order
+        rows += [(f"run{n}", 1, "NONE", "A")] + [(f"run{n}", 10 + 7 * i, *m) for i in range(n) for m in (("B", "A"), ("A", "B"))]
+    for k in range(60):
+        for at in sorted(rng.choices([0, 1, 2, 3, 4095, 4096, 5000, 10**6, 1_700_000_000_000, 1_700_000_000_001, -5], k=6)):
+            rows += [(rng.choice([f"k{k}", f"k{k}", "hub"]), at, rng.choice(["NONE", "A", "B", "C", None]), rng.choice(["A", "B", "C", None])) for _ in range(rng.randrange(1, 5))]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "n int, k string, at long, b string, a string")
+    ranked = cdc.rank_simultaneous(df, ["k"], "at", "b", "a", "n").selectExpr("*", "CASE WHEN a IS NULL THEN 'D' ELSE 'U' END AS op")
+    assert ranked.count() == len(rows)
+    got = {r["k"]: r["a"] for r in cdc.apply_changes(ranked, ["k"], ["a"], "seq").collect()}
+    want = {k: walk([(r[2], r[3], r[4], r[0]) for r in rows if r[1] == k]) for k in {r[1] for r in rows}}
+    assert got == {k: s for k, s in want.items() if s != "NONE"}
+    assert all(want[f"run{n}"] == "A" for n in range(2, 8))
+    assert cdc.rank_simultaneous(df.limit(0), ["k"], "at", "b", "a", "n").count() == 0

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-#: Milliseconds of history that are searched row by row for the state before an instant; older history enters as one state per such span.
-BUCKET = 3_600_000
+#: Bits of time that one level of the search for the state before an instant covers, so no gathered list is longer than 2 to this power.
+BITS = 12
 
 
 def apply_changes(changes: DataFrame, keys: Sequence[str], fields: Sequence[str], seq: str, op: str = "op") -> DataFrame:
@@ -47,61 +47,79 @@ def rank_simultaneous(changes: DataFrame, keys: Sequence[str], instant: str, bef
 
     Simultaneous changes are chained: starting from the state the key had before the instant, the next is the one whose
     ``before`` is the state reached; failing that, one whose ``before`` no other change leads to; failing that, the one
-    of smallest ``tie``. The state before an instant is the ``after`` of the latest earlier change ('NONE' if null or if
-    there is none). It may itself follow from simultaneous changes, so the ranking is done twice, the second time on the
-    first's result.
+    of smallest ``tie``. The state before an instant is what all earlier ones lead to from 'NONE' (null counts as it).
 
-    ``instant`` counts milliseconds. Only distinct instants that hold several changes are gathered, as distinct (before, after) pairs, so a gathered list
-    is bounded by the square of the number of states. Null ``before`` fits nothing; an empty table gives an empty table.
+    As an instant may itself need the state before it, each is taken as a map from state to state: the few states its
+    changes start from, and one end for all others. Maps are composed up a tree over time (per key, ``BITS`` bits a
+    level), and the states before are handed down it again. That is exact for any number of such instants in a row, in one
+    pass, and no list holds more than 2**``BITS`` maps however hot a key is; a map never has more entries than one
+    instant has states.
+
+    ``instant`` counts milliseconds; changes without one come first and lead to no state. Of the changes of an instant only distinct
+    (before, after) pairs are gathered, so that list is bounded by the square of the number of states. Null ``before``
+    fits nothing; repeated rows share a rank; an empty table gives an empty table.
     """
     spark, k = changes.sparkSession, [f"`{x}`" for x in keys]
     ks, on = ", ".join(k), lambda a, b: " AND ".join(f"{a}.{x} <=> {b}.{x}" for x in k)
-    plain = spark.sql(f"SELECT *, 0 AS __rank FROM {{c}}", c=changes)
-    tied = spark.sql(
-        f"""SELECT {ks}, `{instant}`, collect_list(struct(t, b, a)) AS __pairs
-            FROM (SELECT {ks}, `{instant}`, `{before}` AS b, coalesce(`{after}`, 'NONE') AS a, min(`{tie}`) AS t
-                  FROM {{c}} WHERE `{instant}` IS NOT NULL GROUP BY {ks}, `{instant}`, `{before}`, coalesce(`{after}`, 'NONE'))
-            GROUP BY {ks}, `{instant}` HAVING count(*) > 1""",
+    chain = lambda start: f"""aggregate(
+        sequence(1, size(pairs)),
+        named_struct('s', {start}, 'left', array_sort(pairs), 'done', CAST(array() AS array<struct<b: string, a: string>>)),
+        (acc, i) -> element_at(transform(array(coalesce(
+                get(filter(acc.left, x -> x.b = acc.s), 0),
+                get(filter(acc.left, x -> NOT coalesce(exists(acc.left, y -> y.t <> x.t AND y.a = x.b), false)), 0),
+                get(acc.left, 0))),
+            p -> named_struct('s', p.a, 'left', filter(acc.left, x -> x.t <> p.t), 'done', concat(acc.done, array(named_struct('b', p.b, 'a', p.a))))), 1)
+    ).done"""
+    lead = lambda m, s: f"coalesce(get(filter({m}.m, y -> y.s = {s}), 0).e, {m}.d)"
+    level = spark.sql(
+        f"""
+        WITH pairs AS (
+            SELECT {ks}, `{instant}` AS t, collect_list(struct(n AS t, b, a)) AS pairs
+            FROM (SELECT {ks}, `{instant}`, CAST(`{before}` AS string) AS b, coalesce(CAST(`{after}` AS string), 'NONE') AS a, min(`{tie}`) AS n
+                  FROM {{c}} WHERE `{instant}` IS NOT NULL GROUP BY {ks}, `{instant}`, CAST(`{before}` AS string), coalesce(CAST(`{after}` AS string), 'NONE'))
+            GROUP BY {ks}, `{instant}`
+        )
+        SELECT {ks}, t, size(pairs) > 1 AS tied, CASE WHEN size(pairs) > 1 THEN pairs END AS pairs,
+               CASE WHEN size(pairs) = 1 THEN named_struct('m', CAST(array() AS array<struct<s: string, e: string>>), 'd', pairs[0].a)
+                    ELSE element_at(transform(array(element_at({chain("CAST(NULL AS string)")}, -1).a), d -> named_struct(
+                        'm', filter(transform(array_distinct(filter(transform(pairs, p -> p.b), b -> b IS NOT NULL)),
+                                              s0 -> named_struct('s', s0, 'e', element_at({chain("s0")}, -1).a)), x -> x.e <> d),
+                        'd', d)), 1) END AS map
+        FROM pairs""",
         c=changes,
     )
-    bucket = f"floor(`{instant}` / {BUCKET})"
-    ranked = plain
-    for _ in range(2):
-        ranked = spark.sql(
+    levels = [level]
+    for parent in (f"shiftright(t, {BITS})", f"shiftright(t, {BITS})", f"shiftright(t, {BITS})", "CAST(0 AS bigint)"):
+        level = spark.sql(
+            f"""
+            SELECT {ks}, t, tied, kids, aggregate(slice(kids, 2, size(kids)), element_at(kids, 1).map, (f, g) -> element_at(transform(array({lead("g.map", "f.d")}), d -> named_struct(
+                'm', filter(transform(f.m, x -> named_struct('s', x.s, 'e', {lead("g.map", "x.e")})), x -> x.e <> d), 'd', d)), 1)) AS map
+            FROM (SELECT {ks}, {parent} AS t, bool_or(tied) AS tied, array_sort(collect_list(struct(t, map, tied))) AS kids FROM {{level}} GROUP BY {ks}, {parent})""",
+            level=level,
+        )
+        levels.append(level)
+    starts = spark.sql(f"SELECT {ks}, t, 'NONE' AS start FROM {{top}} WHERE tied", top=levels[-1])
+    for upper in reversed(levels[1:]):
+        starts = spark.sql(
             f"""
-            WITH ends AS (
-                SELECT {ks}, {bucket} AS bk, max_by(coalesce(`{after}`, 'NONE'), struct(`{instant}`, __rank, `{tie}`)) AS state
-                FROM {{ranked}} c LEFT SEMI JOIN {{tied}} t ON {on("c", "t")}
-                WHERE `{instant}` IS NOT NULL GROUP BY {ks}, {bucket}
-            ), starts AS (
-                SELECT {ks}, bk, lag(state) OVER (PARTITION BY {ks} ORDER BY bk) AS state FROM ends
-            ), known AS (
-                SELECT {", ".join(f"t.{x}" for x in k)}, t.`{instant}`, any_value(t.__pairs) AS pairs,
-                       coalesce(max_by(coalesce(c.`{after}`, 'NONE'), struct(c.`{instant}`, c.__rank, c.`{tie}`)) FILTER (WHERE c.`{instant}` IS NOT NULL), any_value(s.state), 'NONE') AS start
-                FROM {{tied}} t
-                LEFT JOIN {{ranked}} c ON {on("t", "c")} AND {bucket.replace("`" + instant, "c.`" + instant)} = {bucket.replace("`" + instant, "t.`" + instant)} AND c.`{instant}` < t.`{instant}`
-                LEFT JOIN starts s ON {on("t", "s")} AND s.bk = {bucket.replace("`" + instant, "t.`" + instant)}
-                GROUP BY {", ".join(f"t.{x}" for x in k)}, t.`{instant}`
-            ), chained AS (
-                SELECT *, aggregate(
-                    sequence(1, size(pairs)),
-                    named_struct('s', start, 'left', array_sort(pairs), 'done', CAST(array() AS array<struct<b: string, a: string>>)),
-                    (acc, i) -> element_at(transform(array(coalesce(
-                            get(filter(acc.left, x -> x.b = acc.s), 0),
-                            get(filter(acc.left, x -> NOT coalesce(exists(acc.left, y -> y.t <> x.t AND y.a = x.b), false)), 0),
-                            get(acc.left, 0))),
-                        p -> named_struct('s', p.a, 'left', filter(acc.left, x -> x.t <> p.t), 'done', concat(acc.done, array(named_struct('b', p.b, 'a', p.a))))), 1)
-                ).done AS done
-                FROM known
-            ), places AS (
-                SELECT {ks}, `{instant}`, pos AS __place, item.b AS __b, item.a AS __a FROM chained LATERAL VIEW posexplode(done) p AS pos, item
-            )
-            SELECT c.* EXCEPT (__rank), coalesce(p.__place, 0) AS __rank
-            FROM {{plain}} c LEFT JOIN places p
-              ON {on("c", "p")} AND c.`{instant}` = p.`{instant}` AND c.`{before}` <=> p.__b AND coalesce(c.`{after}`, 'NONE') = p.__a
-            """,
-            tied=tied,
-            ranked=ranked,
-            plain=plain,
+            SELECT {ks}, kid.t, kid.s AS start FROM (
+                SELECT {", ".join(f"u.{x}" for x in k)}, aggregate(kids, named_struct('s', start, 'out', CAST(array() AS array<struct<t: bigint, s: string>>)), (acc, g) -> named_struct(
+                    's', {lead("g.map", "acc.s")}, 'out', CASE WHEN g.tied THEN concat(acc.out, array(named_struct('t', g.t, 's', acc.s))) ELSE acc.out END)).out AS found
+                FROM {{upper}} u JOIN {{starts}} s ON {on("u", "s")} AND u.t = s.t WHERE u.tied) LATERAL VIEW explode(found) x AS kid""",
+            upper=upper,
+            starts=starts,
         )
-    return spark.sql(f"SELECT * EXCEPT (__rank), struct(`{instant}` AS i, __rank AS r, `{tie}` AS t) AS seq FROM {{r}}", r=ranked)
+    return spark.sql(
+        f"""
+        WITH places AS (
+            SELECT {ks}, t, pos AS place, item.b AS b, item.a AS a
+            FROM (SELECT {", ".join(f"l.{x}" for x in k)}, l.t, {chain("start")} AS done FROM {{level}} l JOIN {{starts}} s ON {on("l", "s")} AND l.t = s.t WHERE l.tied)
+            LATERAL VIEW posexplode(done) p AS pos, item
+        )
+        SELECT c.*, struct(c.`{instant}` AS i, coalesce(p.place, 0) AS r, c.`{tie}` AS t) AS seq
+        FROM {{c}} c LEFT JOIN places p
+          ON {on("c", "p")} AND c.`{instant}` = p.t AND CAST(c.`{before}` AS string) <=> p.b AND coalesce(CAST(c.`{after}` AS string), 'NONE') = p.a""",
+        level=levels[0],
+        starts=starts,
+        c=changes,
+    )

@@ -97,7 +97,7 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     moves = _messages(spark, d).where("event_type LIKE 'IDENTITY\\_%'").select(
-        "delivery_id", "case_id", "entity_id", N.canonical_uuid(F.col("event_id")).alias("event_id"), N.instant_millis(F.col("timestamp")).alias("at"), N.state_name(F.col("previous_state")).alias("previous_state"), N.state_name(F.col("requested_state")).alias("requested_state")
+        "delivery_id", "case_id", "entity_id", "officer_id", "reason", N.canonical_uuid(F.col("event_id")).alias("event_id"), N.instant_millis(F.col("timestamp")).alias("at"), N.state_name(F.col("previous_state")).alias("previous_state"), N.state_name(F.col("requested_state")).alias("requested_state")
     )
     once = spark.sql(
         """SELECT m.* FROM (SELECT min_by(struct(*), delivery_id) AS m FROM {moves} GROUP BY coalesce(event_id, concat('#', delivery_id)))""",
@@ -105,8 +105,8 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     )
     ranked = cdc.rank_simultaneous(once, ["case_id", "entity_id"], "at", "previous_state", "requested_state", "delivery_id")
     return spark.sql(
-        """SELECT case_id, entity_id, seq, nullif(requested_state, 'NONE') AS current_state,
-                  CASE WHEN requested_state IS NULL OR requested_state = 'NONE' THEN 'D' ELSE 'U' END AS op FROM {ranked}""",
+        """SELECT case_id, entity_id, seq, nullif(requested_state, 'NONE') AS current_state, officer_id, reason,
+                  CASE WHEN requested_state IS NULL OR requested_state = 'NONE' THEN 'D' WHEN previous_state = 'NONE' THEN 'R' ELSE 'U' END AS op FROM {ranked}""",
         ranked=ranked,
     )
 
@@ -116,7 +116,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return cdc.apply_changes(_links(spark, d), ["case_id", "entity_id"], ["current_state"], "seq")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_prompts, p3_findings, p4_found, p4_entities, p5_found)}
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each link present with its state and the last officer and reason named since it was made anew (a change from NONE replaces it)."""
+    return cdc.apply_changes(_links(spark, d), ["case_id", "entity_id"], ["current_state", "officer_id", "reason"], "seq")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_prompts, p3_findings, p4_found, p4_entities, p5_found, p5_links)}
 
 
 _UUID = "lower(regexp_replace(regexp_replace(trim({c}), '^urn:uuid:', '', 'i'), '[{{}} -]', '', 'g'))".replace("{{}}", "{}")
@@ -156,25 +161,33 @@ WITH e AS (
     FROM e WHERE rn = 1 GROUP BY ALL
 )
 """
+# Changes of one instant are taken one by one, whatever their number; what they leave to officer and reason is folded along.
 _CHANGES = f"""
 WITH RECURSIVE d AS (
-    SELECT case_id, entity_id, {_MS} AS ms, upper(trim(previous_state)) AS b, coalesce(upper(trim(requested_state)), 'NONE') AS a, delivery_id,
+    SELECT case_id, entity_id, {_MS} AS ms, upper(trim(previous_state)) AS b, coalesce(upper(trim(requested_state)), 'NONE') AS a, officer_id, reason, delivery_id,
            row_number() OVER (PARTITION BY coalesce({_EVENT_ID}, CAST(delivery_id AS VARCHAR)) ORDER BY delivery_id) AS rn
     FROM features5_6_events WHERE event_type LIKE 'IDENTITY!_%' ESCAPE '!'
-), c AS (SELECT *, count(*) OVER (PARTITION BY case_id, entity_id, ms) AS n FROM d WHERE rn = 1
+), c AS (
+    SELECT case_id, entity_id, ms, b, a, min(delivery_id) AS t, CASE WHEN a = 'NONE' THEN 'D' WHEN b = 'NONE' THEN 'R' ELSE 'U' END AS op,
+           CASE WHEN b = 'NONE' THEN arg_max_null(officer_id, delivery_id) ELSE arg_max(officer_id, delivery_id) FILTER (WHERE officer_id IS NOT NULL) END AS o,
+           CASE WHEN b = 'NONE' THEN arg_max_null(reason, delivery_id) ELSE arg_max(reason, delivery_id) FILTER (WHERE reason IS NOT NULL) END AS r
+    FROM d WHERE rn = 1 GROUP BY case_id, entity_id, ms, b, a
 ), steps AS (
-    SELECT case_id, entity_id, ms, dense_rank() OVER (PARTITION BY case_id, entity_id ORDER BY ms) AS k, list(struct_pack(b := b, a := a) ORDER BY delivery_id) AS cs FROM c GROUP BY case_id, entity_id, ms
+    SELECT case_id, entity_id, dense_rank() OVER (PARTITION BY case_id, entity_id ORDER BY ms) AS k, list(struct_pack(t := t, b := b, a := a, op := op, o := o, r := r) ORDER BY t) AS cs FROM c GROUP BY case_id, entity_id, ms
 ), walk AS (
-    SELECT case_id, entity_id, CAST(0 AS BIGINT) AS k, 'NONE' AS s FROM (SELECT DISTINCT case_id, entity_id FROM c)
+    SELECT case_id, entity_id, CAST(0 AS BIGINT) AS k, 0 AS i, 'NONE' AS s, CAST(NULL AS VARCHAR) AS officer, CAST(NULL AS VARCHAR) AS reason, (SELECT list_filter(any_value(cs), lambda x: false) FROM steps) AS todo FROM (SELECT DISTINCT case_id, entity_id FROM c)
     UNION ALL
-    SELECT w.case_id, w.entity_id, t.k,
-           CASE WHEN len(cs) = 1 THEN cs[1].a
-                WHEN cs[1].b = w.s AND cs[2].b IS DISTINCT FROM w.s THEN cs[2].a
-                WHEN cs[2].b = w.s AND cs[1].b IS DISTINCT FROM w.s THEN cs[1].a
-                WHEN cs[1].b = cs[2].a AND cs[2].b IS DISTINCT FROM cs[1].a THEN cs[1].a
-                ELSE cs[2].a END
-    FROM walk w JOIN steps t ON t.case_id = w.case_id AND t.entity_id = w.entity_id AND t.k = w.k + 1
-)
+    SELECT case_id, entity_id, k, i + 1, p.a,
+           CASE p.op WHEN 'D' THEN NULL WHEN 'R' THEN p.o ELSE coalesce(p.o, officer) END, CASE p.op WHEN 'D' THEN NULL WHEN 'R' THEN p.r ELSE coalesce(p.r, reason) END, list_filter(cs, lambda x: x.t <> p.t)
+    FROM (
+        SELECT *, coalesce(list_filter(cs, lambda x: x.b = s)[1], list_filter(cs, lambda x: NOT coalesce(list_contains(list_transform(list_filter(cs, lambda y: y.t <> x.t), lambda y: y.a), x.b), false))[1], cs[1]) AS p
+        FROM (
+            SELECT w.case_id, w.entity_id, w.k, w.i, w.s, w.officer, w.reason, w.todo AS cs FROM walk w WHERE len(w.todo) > 0
+            UNION ALL
+            SELECT w.case_id, w.entity_id, x.k, 0, w.s, w.officer, w.reason, x.cs FROM walk w JOIN steps x ON x.case_id IS NOT DISTINCT FROM w.case_id AND x.entity_id IS NOT DISTINCT FROM w.entity_id AND x.k = w.k + 1 WHERE coalesce(len(w.todo), 0) = 0
+        )
+    )
+), last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY case_id, entity_id ORDER BY k DESC, i DESC) = 1)
 """
 
 SQL = {
@@ -191,5 +204,6 @@ SQL = {
     "p4_found": _CELLS + "SELECT * FROM cells",
     "p4_entities": _CELLS + """SELECT i.canonical_entity_id, coalesce(count(DISTINCT event_type), 0) AS n_types, CAST(coalesce(sum(n_events), 0) AS BIGINT) AS n_events, max(last_epoch) AS last_epoch, CAST(coalesce(sum(total_cents), 0) AS BIGINT) AS total_cents
                                FROM (SELECT canonical_entity_id FROM entity_profile WHERE canonical_entity_id IS NOT NULL UNION SELECT canonical_entity_id FROM cells) i LEFT JOIN cells USING (canonical_entity_id) GROUP BY 1""",
-    "p5_found": _CHANGES + """SELECT case_id, entity_id, s AS current_state FROM walk QUALIFY k = max(k) OVER (PARTITION BY case_id, entity_id) AND s <> 'NONE'""",
+    "p5_found": _CHANGES + "SELECT case_id, entity_id, s AS current_state FROM last WHERE s <> 'NONE'",
+    "p5_links": _CHANGES + "SELECT case_id, entity_id, s AS current_state, officer AS officer_id, reason FROM last WHERE s <> 'NONE'",
 }
