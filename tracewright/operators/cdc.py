@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from tracewright.session import materialize
+
 #: Bits of time that one level of the search for the state before an instant covers, so no gathered list is longer than 2 to this power.
 BITS = 12
 
@@ -71,7 +73,7 @@ def rank_simultaneous(changes: DataFrame, keys: Sequence[str], instant: str, bef
             p -> named_struct('s', p.a, 'left', filter(acc.left, x -> x.t <> p.t), 'done', concat(acc.done, array(named_struct('b', p.b, 'a', p.a))))), 1)
     ).done"""
     lead = lambda m, s: f"coalesce(get(filter({m}.m, y -> y.s = {s}), 0).e, {m}.d)"
-    level = spark.sql(
+    instants = spark.sql(
         f"""
         WITH pairs AS (
             SELECT {ks}, `{instant}` AS t, collect_list(struct(n AS t, b, a)) AS pairs
@@ -88,8 +90,16 @@ def rank_simultaneous(changes: DataFrame, keys: Sequence[str], instant: str, bef
         FROM pairs""",
         c=changes,
     )
-    levels = [level]
-    for parent in (f"shiftright(t, {BITS})", f"shiftright(t, {BITS})", f"shiftright(t, {BITS})", "CAST(0 AS bigint)"):
+    # Written once: the tree is built over the keys with some tied instant only.
+    instants = materialize(instants)
+    level = spark.sql(f"SELECT * FROM {{i}} i LEFT SEMI JOIN (SELECT DISTINCT {ks} FROM {{i}} WHERE tied) k ON {on('i', 'k')}", i=instants)
+    low, high = level.selectExpr("min(t)", "max(t)").first()
+    if low is None:
+        return spark.sql(f"SELECT *, struct(`{instant}` AS i, 0 AS r, `{tie}` AS t) AS seq FROM {{c}}", c=changes)
+    levels, parents = [level], []
+    while (high >> BITS * len(parents)) - (low >> BITS * len(parents)) >= 1 << BITS:
+        parents.append(f"shiftright(t, {BITS})")
+    for parent in [*parents, "CAST(0 AS bigint)"]:
         level = spark.sql(
             f"""
             SELECT {ks}, t, tied, kids, aggregate(slice(kids, 2, size(kids)), element_at(kids, 1).map, (f, g) -> element_at(transform(array({lead("g.map", "f.d")}), d -> named_struct(

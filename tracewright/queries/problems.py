@@ -103,6 +103,8 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
         """SELECT m.* FROM (SELECT min_by(struct(*), delivery_id) AS m FROM {moves} GROUP BY coalesce(event_id, concat('#', delivery_id)))""",
         moves=moves,
     )
+    # Written once, as the ordering and its result both read it.
+    once = materialize(once)
     ranked = cdc.rank_simultaneous(once, ["case_id", "entity_id"], "at", "previous_state", "requested_state", "delivery_id")
     return spark.sql(
         """SELECT case_id, entity_id, seq, nullif(requested_state, 'NONE') AS current_state, officer_id, reason,
