@@ -21,7 +21,7 @@ def test_tiles_and_passages():
     def share(words):
         get = items.vocabulary.get
         at, _, pos = items.hits(np.array([get(w, -1) for w in words], np.int64))
-        ts = K.tiles(at, pos, items.seed)
+        ts = K.tiles(at, pos, items.seeds[0])
         return K.passage(ts, 3), sum(t[2] for t in ts)
 
     assert share(WORDS) == (40, 40)
@@ -92,3 +92,56 @@ def test_passage_is_exact(spark):
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
     got = {r["doc_id"]: r["passage_share"] for r in K.leaks(d, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect() if r["passage_share"] >= 0.4}
     assert got == want and {0, 2} <= set(want)
+
+
+def _shares(docs, items):
+    block = K.Items(list(items), list(items.values()), 0.4, 3, 3)
+    get = block.vocabulary.get
+    coded = [np.array([*(get(w, -1) for w in K.words_of(d)), -1], np.int64) for d in docs]
+    return {(r, k): (p, t) for r, k, p, t in K._found(block, coded)}
+
+
+def test_pieces_in_any_order_give_a_row():
+    """Reordered quotations of at least two fifths in pieces of a tile's length are all found, whatever their number and size."""
+    words = [f"w{i}" for i in range(60)]
+    rng, docs, want = random.Random(4), [], 0
+    for size in (3, 4, 5, 8):
+        for n in range(1, 60 // size + 1):
+            for _ in range(3):
+                starts = [size * i for i in rng.sample(range(60 // size), n)]
+                docs.append(" x y ".join(" ".join(words[s : s + size]) for s in starts))
+                want += n * size >= 24
+    got = _shares(docs, {1: " ".join(words)})
+    assert all(t * 60 >= sum(w[0] == "w" for w in d.split()) for (r, _), (_, t) in got.items() for d in [docs[r]])
+    assert len(got) == want  # recall 1
+
+
+def test_items_do_not_change_each_other():
+    """A short item shortens its own seeds only."""
+    rng = random.Random(5)
+    long = {k: " ".join(rng.choice([f"a{i}" for i in range(30)]) for _ in range(60)) for k in range(5)}
+    docs = [" ".join(rng.choice([f"a{i}" for i in range(30)] + ["q"]) for _ in range(300)) for _ in range(10)]
+    docs += [" zz ".join(long[2].split()[::2])] + [long[3]]  # scattered single words are no leak
+    alone = _shares(docs, long)
+    mixed = _shares(docs, {**long, 9: "a1 a2 a3 a4 a5 a6 a7 a8 a9 b0"})
+    assert {k: v for k, v in mixed.items() if k[1] != 9} == alone and (11, 3) in alone and (10, 2) not in alone
+
+
+def test_no_hits():
+    none = np.zeros(0, np.int64)
+    assert K.tiles(none, none, 3) == [] and K.extent([], [], none, none, 3, 3) == 0
+    assert _shares(["", "x"], {1: "a b c"}) == {} and _shares(["a b"], {}) == {}
+    assert K.words_of("STRASSE l’eau") == K.words_of("straße l'eau")
+
+
+def test_passages_in_notes_and_captions(spark):
+    """A note does not break the passage around it, and a passage inside one is found."""
+    docs = [
+        (1, " ".join(WORDS[:10]) + "<ref>" + " ".join(f"r{i}" for i in range(9)) + "</ref> " + " ".join(WORDS[10:20])),
+        (2, "x <ref name=\"n\">" + " ".join(WORDS[5:25]) + "</ref> y"),
+        (3, "[[File:x.png|thumb|" + " ".join(WORDS[:16]) + "]] <!-- " + " ".join(WORDS[20:24]) + " -->"),
+        (4, "<ref>" + " ".join(WORDS[:8]) + "</ref> a <ref>" + " ".join(WORDS[8:15]) + "</ref>"),  # two notes are no one passage
+    ]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r["doc_id"]: r["passage_share"] for r in K.leaks(d, i).collect() if r["passage_share"] >= 0.4}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.4}

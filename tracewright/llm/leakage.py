@@ -12,7 +12,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,63 +21,79 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-#: Words of items held in one broadcast; a larger set of items is worked through in blocks of this size.
-BLOCK_WORDS = 200_000
+#: Words of items held in one broadcast (some 20,000 items); all of them are searched in one scan of the documents, and a larger set
+#: of items takes one scan for every block of this size. It also keeps the codes of three words free of collisions.
+BLOCK_WORDS = 1_000_000
+#: Words of documents that a task searches at a time.
+HELD_WORDS = 2_000_000
 SHARE, EDITS, SEED = 0.4, 3, 3
 
 _MARKUP = re.compile(r"<!--.*?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<[^<>\n]{1,200}>|\{\{([^{}]*)\}\}|\[\[([^\[\]]*)\]\]|&(?:[a-zA-Z]+|#\d+);", re.S)
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
-def _plain(m: re.Match) -> str:
+def _plain(m: re.Match, aside: list[str]) -> str:
+    whole = m.group(0)
     if m.group(1) is not None:
         kept = [a for a in m.group(1).split("|")[1:] if "=" not in a or len(a) > 40]
         return " " + " ".join(a.split("=", 1)[-1] for a in kept) + " "
     if m.group(2) is not None:
         head, _, shown = m.group(2).rpartition("|")
-        return " " if re.match(r"\s*(?:Category|File|Image|Datei|Kategorie|Archivo|Categoría|Fichier|Catégorie):", head or shown) else shown
-    if m.group(0)[0] == "&":
-        return html.unescape(m.group(0))
+        if not re.match(r"\s*(?:Category|File|Image|Datei|Kategorie|Archivo|Categoría|Fichier|Catégorie):", head or shown):
+            return shown
+        aside.append(shown if head else "")
+        return " "
+    if whole[0] == "&":
+        return html.unescape(whole)
+    if whole.startswith("<!--"):
+        aside.append(whole[4:-3])
+    elif whole.startswith("<ref") and whole.endswith("</ref>"):
+        aside.append(whole[whole.index(">") + 1 : -6])
     return " "
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text in lower case, without markup: links count as what they show, templates as their unnamed
-    arguments, notes, comments, tags, files and categories not at all."""
+def parts_of(text: str) -> list[list[str]]:
+    """The words of a text in lower case, without markup, and after them those of each note, comment and caption on its own.
+
+    Links count as what they show, templates as their unnamed arguments, tags, files and categories not at all.
+    """
+    aside: list[str] = []
     if "{{" in text or "[[" in text or "<" in text or "&" in text:
-        text = _MARKUP.sub(_plain, text)
-    return _WORDS.findall(text.lower())
+        text = _MARKUP.sub(lambda m: _plain(m, aside), text)
+    # What stands aside is no part of the running text, but may hold a passage itself.
+    return [_WORDS.findall(text.casefold().replace("’", "'")), *(parts_of(a)[0] for a in aside if a.count(" ") > 1)]
 
 
-class Items:
-    """A block of items, coded for the search."""
+def words_of(text: str) -> list[str]:
+    """The words of the running text; see :func:`parts_of`."""
+    return parts_of(text)[0]
 
-    def __init__(self, ids: list, texts: list[str], share: float, edits: int, seed: int):
-        self.ids, self.share, self.edits = ids, share, edits
-        words = [words_of(t) for t in texts]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-        self.coded = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for ws in words]
-        # Of a passage with so many changed words, a run of this length is left whole.
-        self.seed = max(1, min([seed, *((math.ceil(share * len(w)) - edits) // (edits + 1) for w in words if w)]))
-        codes, item, pos = [], [], []
-        for k, c in enumerate(self.coded):
+
+class Seeds:
+    """The seeds of one length of a block's items."""
+
+    def __init__(self, length: int, coded: dict[int, np.ndarray]):
+        self.length = length
+        codes, item, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, c in coded.items():
             h = self.windows(c)
             codes.append(h)
-            item += [k] * len(h)
-            pos += range(len(h))
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            item.append(np.full(len(h), k))
+            pos.append(np.arange(len(h)))
+        code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")
-        self.code, self.item, self.pos = code[order], np.array(item, np.int64)[order], np.array(pos, np.int64)[order]
-        self.table = np.zeros(1 << 22, bool)
-        self.table[self.code & ((1 << 22) - 1)] = True
+        self.code, self.item, self.pos = code[order], np.concatenate(item)[order], np.concatenate(pos)[order]
+        self.mask = (1 << max(16, (16 * len(code)).bit_length())) - 1
+        self.table = np.zeros(self.mask + 1, bool)
+        self.table[self.code & self.mask] = True
 
     def windows(self, c: np.ndarray) -> np.ndarray:
-        """Karp-Rabin codes of all windows of the seed's length; -1 where one holds a word no item has."""
-        n = len(c) - self.seed + 1
+        """Karp-Rabin codes of all windows of this length; -1 where one holds a word no item has."""
+        n = len(c) - self.length + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         h, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-        for k in range(self.seed):
+        for k in range(self.length):
             part = c[k : k + n]
             h = h * 1_000_003 + part
             bad |= part < 0
@@ -87,9 +102,8 @@ class Items:
         return h
 
     def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document position, item and item position of every seed in a coded document (or a joined batch of them)."""
         h = self.windows(doc)
-        at = np.flatnonzero((h >= 0) & self.table[h & ((1 << 22) - 1)])
+        at = np.flatnonzero((h >= 0) & self.table[h & self.mask])
         lo, hi = np.searchsorted(self.code, h[at], "left"), np.searchsorted(self.code, h[at], "right")
         n = hi - lo
         rep = np.repeat(np.arange(len(at)), n)
@@ -97,8 +111,34 @@ class Items:
         return at[rep], self.item[idx], self.pos[idx]
 
 
+class Items:
+    """A block of items, coded for the search. Each has seeds of its own length, so no item's result hangs on the others."""
+
+    def __init__(self, ids: list, texts: list[str], share: float, edits: int, seed: int):
+        self.ids, self.share, self.edits = ids, share, edits
+        words = [words_of(t) for t in texts]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.coded = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for ws in words]
+        # Of a passage with so many changed words, a run of this length is left whole.
+        self.seeds = [max(1, min(seed, (math.ceil(share * len(w)) - edits) // (edits + 1))) for w in words]
+        self.parts = [Seeds(n, {k: c for k, c in enumerate(self.coded) if self.seeds[k] == n}) for n in sorted(set(self.seeds))]
+
+    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document position, item and item position of every seed in a coded document (or a joined batch of them)."""
+        found = [p.hits(doc) for p in self.parts] or [(np.zeros(0, np.int64),) * 3]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def may_reach(self, k: int, pos: np.ndarray) -> bool:
+        """Whether item ``k`` can reach the share with seeds at these places: as tiles, which cover no other words than the seeds do, or as a passage with all its edits, which keeps a number of them."""
+        at, seed, need = np.unique(pos), self.seeds[k], math.ceil(self.share * len(self.coded[k]))
+        covered = int(np.minimum(np.diff(at), seed).sum()) + seed
+        return covered >= need or len(at) >= max(1, need - self.edits - (seed - 1) * (self.edits + 1))
+
+
 def tiles(at: np.ndarray, pos: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seed hits of one document and item: (document position, item position, length)."""
+    """Greedy string tiling from seed hits of one document and item: (document position, item position, length). No hits, no tiles."""
+    if not len(at):
+        return []
     order = np.lexsort((at, at - pos))
     a, p = at[order], pos[order]
     cut = np.flatnonzero((np.diff(a) != 1) | (np.diff(p) != 1)) + 1
@@ -178,6 +218,8 @@ def _reach(a: list[int], x: int, b: list[int], y: int, edits: int) -> list[int]:
 
 def extent(doc: list[int], item: list[int], at: np.ndarray, pos: np.ndarray, seed: int, edits: int) -> int:
     """The most item words, from first to last equal word, of a passage with at most ``edits`` words changed, dropped or added that holds one of the seeds."""
+    if not len(at):
+        return 0
     order = np.lexsort((at, at - pos))
     a, p = at[order], pos[order]
     cut = np.flatnonzero((np.diff(a) != 1) | (np.diff(p) != 1)) + 1
@@ -199,11 +241,12 @@ def leaks(documents: DataFrame, items: DataFrame, text: str = "text", doc: str =
 
     ``passage_share`` is the part of the item's words in its longest quoted passage, in order and with at most ``edits``
     words changed, dropped or added; ``tile_share`` the part under tiles in any order and place. A pair is returned if
-    either reaches ``share``. Items are held in blocks of at most ``BLOCK_WORDS`` words and every document is read
-    against each block; nothing of the documents is shuffled or gathered.
+    either reaches ``share``. ``seed`` is the least length of a tile; items too short for it to find every passage have
+    a shorter one of their own. Items are held in blocks of at most ``BLOCK_WORDS`` words; each block is searched in one
+    scan of the documents, of which nothing is shuffled or gathered.
 
     Null and empty texts, and items without words, match nothing. Repeated rows give repeated pairs. Case, punctuation,
-    line breaks and wiki markup are ignored.
+    line breaks and wiki markup are ignored; notes, comments and captions are searched apart from the text around them.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -227,37 +270,46 @@ def _search(shared):
         block: Items = shared.value
         get = block.vocabulary.get
         for pdf in batches:
-            coded, starts, n = [], [], 0
-            for t in pdf["t"]:
-                ids = [get(w, -1) for w in words_of(t)]
-                ids.append(-1)
-                starts.append(n)
+            found: list[tuple] = []
+            rows, coded, n = [], [], 0
+            for r, t in enumerate(pdf["t"]):
+                ids = []
+                for words in parts_of(t):
+                    ids += [get(w, -1) for w in words]
+                    ids.append(-1)
+                rows.append(r)
                 n += len(ids)
                 coded.append(np.array(ids, np.int64))
-            at, item, pos = block.hits(np.concatenate(coded)) if coded else (np.zeros(0, np.int64),) * 3
-            first = np.array(starts, np.int64)
-            row = np.searchsorted(first, at, "right") - 1
-            order = np.lexsort((item, row))
-            at, item, pos, row = at[order], item[order], pos[order], row[order]
-            cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-            found, held, doc = [], -1, []
-            for g in np.split(np.arange(len(at)), cut) if len(at) else ():
-                k = int(item[g[0]])
-                size = len(block.coded[k])
-                need = math.ceil(block.share * size)
-                # A passage with all its edits keeps at least this many seeds.
-                if len(np.unique(pos[g])) < max(1, need - block.edits - (block.seed - 1) * (block.edits + 1)):
-                    continue
-                ts = tiles(at[g] - first[row[g[0]]], pos[g], block.seed)
-                r = int(row[g[0]])
-                if r != held:
-                    held, doc = r, coded[r].tolist()
-                most = passage(ts, block.edits)
-                if most < size:
-                    most = extent(doc, block.coded[k].tolist(), at[g] - first[r], pos[g], block.seed, block.edits)
-                whole, covered = most / size, sum(t[2] for t in ts) / size
-                if max(whole, covered) >= block.share:
-                    found.append((pdf["d"].iloc[r], block.ids[k], whole, covered))
+                if n > HELD_WORDS:
+                    found += [(pdf["d"].iloc[rows[k]], *f) for k, *f in _found(block, coded)]
+                    rows, coded, n = [], [], 0
+            if coded:
+                found += [(pdf["d"].iloc[rows[k]], *f) for k, *f in _found(block, coded)]
             yield pd.DataFrame(found, columns=["d", "i", "passage_share", "tile_share"])
 
     return run
+
+
+def _found(block: Items, coded: list[np.ndarray]) -> Iterator[tuple]:
+    """(number of the document, item, passage share, tile share) of the pairs of some documents that reach the share."""
+    first = np.cumsum([0] + [len(c) for c in coded[:-1]])
+    at, item, pos = block.hits(np.concatenate(coded))
+    row = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((item, row))
+    at, item, pos, row = at[order], item[order], pos[order], row[order]
+    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
+    held, doc = -1, []
+    for g in np.split(np.arange(len(at)), cut) if len(at) else ():
+        k, r = int(item[g[0]]), int(row[g[0]])
+        if not block.may_reach(k, pos[g]):
+            continue
+        size, seed = len(block.coded[k]), block.seeds[k]
+        ts = tiles(at[g] - first[r], pos[g], seed)
+        if r != held:
+            held, doc = r, coded[r].tolist()
+        most = passage(ts, block.edits)
+        if most < size:
+            most = extent(doc, block.coded[k].tolist(), at[g] - first[r], pos[g], seed, block.edits)
+        whole, covered = most / size, sum(t[2] for t in ts) / size
+        if max(whole, covered) >= block.share:
+            yield r, block.ids[k], whole, covered
