@@ -49,49 +49,67 @@ def test_accuracy(tables):
     assert len({r for _, r in got}) == len(got)
 
 
-def test_retrieval_is_exact(tables):
-    """Every pair that shares a strong token and reaches the least score is found: a brute-force nearest by the same score agrees."""
-    left, right, _ = tables
-    got = {r["r"]: (r["l"], r["score"]) for r in M.match(left, right, COLS, COLS, least=0.0).collect()}
-    lt, rt = ({r["id"]: set(r["toks"]) for r in M.tokens(t, **COLS).collect()} for t in (left, right))
+def brute(lt, rt, near=M.NEAR):
+    """For every query the nearest entries by BM25 over all pairs."""
     n, df = len(lt) + len(rt), {}
     for ts in [*lt.values(), *rt.values()]:
         for t in ts:
             df[t] = df.get(t, 0) + 1
     w = {t: np.log1p((n - d + 0.5) / (d + 0.5)) * M.FIELD[t[:2]] for t, d in df.items()}
-    width = np.mean([len(t) for t in lt.values()])
-    strong = lambda t: df[t] <= max(n * M.COMMON, M.FEW) and t[:2] not in M.WEAK
-    for r, ts in list(rt.items())[:120]:
-        own, best = sum(w[t] for t in ts), None
-        for x, us in lt.items():
-            both = ts & us
-            if any(strong(t) for t in both):
-                s = sum(w[t] for t in both) * (M.K1 + 1) / (1 + M.K1 * (1 - M.B + M.B * len(us) / width))
-                if s >= own * M.LEAST and (best is None or (-s, x) < (-best[1], best[0])):
-                    best = (x, s)
-        if best is None:
-            assert r not in got
-        elif r in got:  # else not mutual
-            assert got[r][1] == pytest.approx(best[1])
-
-
-def test_weak_tokens_alone_match(spark):
-    """Pairs that share only a name part and a city are scored too, and tokens of any frequency count."""
+    width, out = np.mean([len(t) for t in lt.values()]), {}
+    for r, ts in rt.items():
+        scored = [(-sum(w[t] for t in ts & us) * (M.K1 + 1) / (1 + M.K1 * (1 - M.B + M.B * len(us) / width)), x) for x, us in lt.items() if ts & us]
+        least = max(M.LEAST * sum(w[t] for t in ts), near * -min(scored, default=(0, ""))[0])
+        for k, (s, x) in enumerate(sorted(c for c in scored if -c[0] >= least - 1e-9)[: M.TOP], 1):
+            out[r, k] = (x, -s)
+    return out
+
+
+def same(pairs, want):
+    """Equal scores at every place, and equal entries but for ties."""
+    got = {(p["r"], p["place"]): (p["l"], p["score"]) for p in pairs.collect()}
+    assert set(got) == set(want)
+    for k, (x, s) in want.items():
+        assert got[k][1] == pytest.approx(s)
+        if all(abs(s - v) > 1e-9 for j, (_, v) in want.items() if j[0] == k[0] and j != k) and k[1] < M.TOP:
+            assert got[k][0] == x
+
+
+@pytest.mark.parametrize("short, hot, share", [(8, 1000, 0.0), (1, 6, 0.0), (2, 3, 1.0), (0, 0, 0.0)])
+def test_retrieval_is_exact(tables, monkeypatch, short, hot, share):
+    """Every pair that reaches the bounds is found, whichever postings count as short or hot."""
+    monkeypatch.setattr(M, "SHORT", short)
+    monkeypatch.setattr(M, "HOT", hot)
+    lhs, rhs = (M.tokens(t, **COLS) for t in tables[:2])
+    lt, rt = ({r["id"]: set(r["toks"]) for r in t.collect()} for t in (lhs, rhs))
+    same(M.retrieve(lhs, rhs, share)[0], brute(lt, rt, 0.0 if share else M.NEAR))
+
+
+def test_common_tokens_count(spark, monkeypatch):
+    """Pairs that share a name part and a city only are scored too, however common they are, and a token that all share gives ties."""
+    monkeypatch.setattr(M, "HOT", 20)
     left = [(f"L{i:03d}", f"Al{'abcdefghij'[i % 10]} Bo{'klmnopqrst'[i // 10 % 10]}", None, None, None, "Millford", 1950 + i % 7) for i in range(300)]
     right = [(f"R{i:03d}", p[1].split(" ")[1], None, None, None, p[5], None) for i, p in enumerate(left)]
-    lhs, rhs = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
-    got = {r["r"]: (r["l"], r["score"]) for r in M.match(lhs, rhs, COLS, COLS, least=0.0, weak=True).collect()}
-    lt, rt = ({r["id"]: set(r["toks"]) for r in M.tokens(t, **COLS).collect()} for t in (lhs, rhs))
-    n, df = len(lt) + len(rt), {}
-    for ts in [*lt.values(), *rt.values()]:
-        for t in ts:
-            df[t] = df.get(t, 0) + 1
-    w = {t: np.log1p((n - d + 0.5) / (d + 0.5)) * M.FIELD[t[:2]] for t, d in df.items()}
-    width = np.mean([len(t) for t in lt.values()])
-    assert len(got) == 300 and M.match(lhs, rhs, COLS, COLS, least=0.0).count() == 0
-    for r, ts in rt.items():
-        best = max(sum(w[t] for t in ts & us) * (M.K1 + 1) / (1 + M.K1 * (1 - M.B + M.B * len(us) / width)) for us in lt.values())
-        assert got[r][1] == pytest.approx(best)
+    right += [(f"S{i}", None, None, None, "10.1.1.0/24", None, None) for i in range(50)]
+    left += [(f"T{i}", None, None, f"dev{i:05d}", "10.1.1.0/24", None, None) for i in range(50)]
+    lhs, rhs = (M.tokens(spark.createDataFrame(t, SCHEMA), **COLS) for t in (left, right))
+    lt, rt = ({r["id"]: set(r["toks"]) for r in t.collect()} for t in (lhs, rhs))
+    pairs = M.retrieve(lhs, rhs)[0]
+    same(pairs, brute(lt, rt))
+    assert pairs.where("place = 1").count() == 350 and {p["l"] for p in pairs.where("r like 'S%' and place = 1").collect()} == {"T0"}
+
+
+def test_calibration(tables):
+    """Confidence is a probability: on queries not used, its error is small."""
+    lhs, rhs = (M.tokens(t, **COLS) for t in tables[:2])
+    pairs, weights = M.retrieve(lhs, rhs, 1.0)
+    told = M.examples(M.compared(lhs, rhs, pairs), weights)
+    model, report = M.calibrate(told, 10_000)
+    assert len(model) == len(M.FEATURES) + 1 and report["brier"] < 0.08 and report["ece"] < 0.1
+    left, right, truth = tables
+    got = M.match(left, right, COLS, COLS, least=0.0).toPandas()
+    hit = np.array([(a, b) in truth for a, b in zip(got["l"], got["r"], strict=True)], float)
+    assert np.mean((got["confidence"] - hit) ** 2) < 0.08
 
 
 def test_edges(spark, tables):
