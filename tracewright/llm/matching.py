@@ -26,7 +26,7 @@ LEAST, NEAR = 0.15, 0.5
 #: Of an entity's queries those are near to it that reach this part of its own best.
 MUTUAL = 0.2
 #: Postings of at most so many entries are read first.
-SHORT = 8
+SHORT = 64
 #: Postings of more entries are ranked once per set of such tokens, and not joined with queries.
 HOT = 1000
 #: At most so many queries are used to fit the calibration.
@@ -40,7 +40,7 @@ _BARE = "aaaaaaaccceeeeeeiiiiinnooooooossuuuuuyyzzz"
 _NO_NAME = ("unknown subscriber", "unknown", "n/a", "na", "none", "test", "subscriber", "anonymous")
 _NO_DEVICE = ("unknown", "none", "na", "null", "000000000000000")
 #: How much each kind of token counts, as parts of one attribute overlap.
-FIELD = {"ph": 1.0, "pa": 0.4, "pb": 0.4, "pc": 0.4, "dv": 1.0, "sn": 0.6, "sy": 0.5, "cy": 0.3, "ni": 0.7, "ny": 0.5, "nc": 0.4, "4y": 0.3, "4c": 0.2}
+FIELD = {"ph": 1.0, "pa": 0.4, "pb": 0.4, "pc": 0.4, "dv": 1.0, "sn": 0.6, "sy": 0.5, "ni": 0.7, "ny": 0.5, "nc": 0.4, "4y": 0.3}
 #: Attributes that tell a match by themselves; each is held out in turn to label the calibration.
 NUMBERS = {"phone": ("ph", "pa", "pb", "pc"), "device": ("dv",)}
 
@@ -71,13 +71,12 @@ def tokens(df: DataFrame, key: str, name: str, phone: str, device: str, subnet:
     c = F.col
     single = F.array(
         tag("ph", c("ph")), tag("pa", F.substring("ph", 1, 5)), tag("pb", F.substring("ph", 6, 5)), tag("pc", F.substring("ph", 1, 3), F.substring("ph", 8, 3)),
-        tag("dv", c("dv")), tag("sn", c("sn")), tag("sy", c("sn"), c("yr")), tag("cy", c("ct"), c("yr")),
+        tag("dv", c("dv")), tag("sn", c("sn")), tag("sy", c("sn"), c("yr")),
     )
     of_names = F.flatten(F.array(
         F.transform(long, lambda p: tag("ny", p, c("yr"))),
         F.transform(long, lambda p: tag("nc", p, c("ct"))),
         F.transform(ends, lambda p: tag("4y", p, c("yr"))),
-        F.transform(ends, lambda p: tag("4c", p, c("ct"))),
         F.flatten(F.transform(long, lambda p: F.transform(F.filter("parts", lambda q: q != p), lambda q: tag("ni", F.substring(q, 1, 1), p)))),
     ))
     every = F.filter(F.concat(single, of_names), lambda t: t.isNotNull())
@@ -145,7 +144,12 @@ def retrieve(lhs: DataFrame, rhs: DataFrame, share: float = 0.0) -> tuple[DataFr
     ranked = sets.join(seen.where(F.col("dl") > HOT).select("no", "w"), "no").join(posts.where(F.col("dl") > HOT).select("no", "l", "lnorm"), "no").groupBy("sig", "l", "lnorm").agg(F.sum("w").alias("s"))
     tops = ranked.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc(F.col("s") * F.col("lnorm")), "l"))).where(F.col("k") <= TOP)
     parts = parts.unionByName(q.where("sig is not null").select("r", "sig").join(tops, "sig").select("r", "l", "lnorm", F.lit(0.0).alias("s")))
-    able = parts.groupBy("r", "l", "lnorm").agg(F.sum("s").alias("s")).join(q.select("r", "rnorm", "self", "theta", "open", "rest"), "r").where((F.col("s") + F.col("open")) * F.col("lnorm") >= F.col("theta"))
+    # By query from here on. A pair that cannot pass the query's last place as known so far needs no completion.
+    sums = parts.repartition("r").groupBy("r", "l", "lnorm").agg(F.sum("s").alias("s"))
+    sums = sums.withColumn("sure", F.col("s") * F.col("lnorm")).withColumn("last", F.nth_value("sure", TOP).over(Window.partitionBy("r").orderBy(F.desc("sure")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sums = sums.withColumn("top", F.max("sure").over(Window.partitionBy("r"))).join(q.select("r", "rnorm", "self", "theta", "open", "rest"), "r")
+    sums = sums.withColumn("theta", F.greatest("theta", F.col("top") * near))
+    able = materialize(sums.where((F.col("s") + F.col("open")) * F.col("lnorm") >= F.greatest("theta", F.coalesce("last", F.lit(0.0)))).drop("sure", "last", "top", "open"))
     # Completed from the tokens of both sides.
     held = posts.groupBy("l").agg(F.collect_list("no").alias("nos"))
     more = _sum(ws(F.filter("rest", lambda x: F.array_contains("nos", x["no"]))))
