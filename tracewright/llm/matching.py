@@ -121,13 +121,14 @@ def retrieve(lhs: DataFrame, rhs: DataFrame, share: float = 0.0) -> tuple[DataFr
     def looked(of: DataFrame, asked: Column, postings: DataFrame) -> DataFrame:
         return of.select("r", F.explode(asked).alias("x")).select("r", "x.no", "x.w").join(postings.select("no", "l", "lnorm"), "no").groupBy("r", "l", "lnorm").agg(F.sum("w").alias("s"))
 
-    short = materialize(looked(queries, F.filter("q", lambda x: x["dl"] <= SHORT), posts.where(F.col("dl") <= SHORT)))
+    low = min(SHORT, HOT)
+    short = materialize(looked(queries, F.filter("q", lambda x: x["dl"] <= low), posts.where(F.col("dl") <= low)))
     first = short.groupBy("r").agg(F.max(F.col("s") * F.col("lnorm")).alias("best"))
     near = F.when(_sampled("r", share), F.lit(0.0)).otherwise(F.lit(NEAR))
     # What a pair must reach, as far as is known.
     q = queries.join(first, "r", "left").withColumn("theta", F.greatest("need", F.coalesce(F.col("best") * near, F.lit(0.0))))
     ws = lambda xs: F.transform(xs, lambda x: x["w"])
-    q = q.withColumn("hot", F.filter("q", lambda x: x["dl"] > HOT)).withColumn("usual", F.filter("q", lambda x: (x["dl"] > SHORT) & (x["dl"] <= HOT))).withColumn("hot_w", _sum(ws("hot")))
+    q = q.withColumn("hot", F.filter("q", lambda x: x["dl"] > HOT)).withColumn("usual", F.filter("q", lambda x: (x["dl"] > low) & (x["dl"] <= HOT))).withColumn("hot_w", _sum(ws("hot")))
     q = q.withColumn("by_hot", (F.size("hot") > 0) & (F.col("hot_w") * most >= F.col("theta")))
     # The least weights first: those that together stay below the threshold need no look-up.
     state = lambda total, k, on: F.struct(total.alias("sum"), k.alias("n"), on.alias("on"))
@@ -138,7 +139,7 @@ def retrieve(lhs: DataFrame, rhs: DataFrame, share: float = 0.0) -> tuple[DataFr
     q = q.withColumn("skip", F.when(F.col("by_hot"), F.lit(0)).otherwise(skip))
     q = q.withColumn("rest", F.concat("hot", F.slice("usual", F.lit(1), F.col("skip")))).withColumn("asked", F.slice("usual", F.col("skip") + 1, F.size("usual")))
     q = materialize(q.select("r", "rnorm", "self", "theta", "asked", "rest", _sum(ws("rest")).alias("open"), F.when(F.col("by_hot"), F.array_sort(F.transform("hot", lambda x: x["no"]))).alias("sig")))
-    parts = short.unionByName(looked(q, F.col("asked"), posts.where((F.col("dl") > SHORT) & (F.col("dl") <= HOT))))
+    parts = short.unionByName(looked(q, F.col("asked"), posts.where((F.col("dl") > low) & (F.col("dl") <= HOT))))
     # Candidates by hot tokens alone: the nearest of every distinct set of them.
     sets = q.where("sig is not null").select("sig").distinct().select("sig", F.explode("sig").alias("no"))
     ranked = sets.join(seen.where(F.col("dl") > HOT).select("no", "w"), "no").join(posts.where(F.col("dl") > HOT).select("no", "l", "lnorm"), "no").groupBy("sig", "l", "lnorm").agg(F.sum("w").alias("s"))
