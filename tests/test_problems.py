@@ -129,21 +129,19 @@ def test_features_against_brute_force(spark):
         c[0] += 1
         c[1] = r[4] if c[1] is None else c[1] if r[4] is None else max(c[1], r[4])
         c[2] += r[5] or 0
-    cells = feature_table.cell_features(df, "ent", ["typ", "dom"], "event_id", "at", "cents")
     entities = spark.createDataFrame([("hub",), ("silent",), (None,)], "ent string")
-    whole = feature_table.feature_blocks(cells, "ent", ["typ", "dom"], entities, 3)
+    whole = feature_table.feature_blocks(df, "ent", ["typ", "dom"], "event_id", "at", "cents", entities, 3)
     names = [r["ent"] for r in whole.collect()]
     assert len(names) == len(set(names)) and "silent" in names and None not in names
     got = {(r["ent"], r["typ"], r["dom"]): [r["n_events"], r["last_at"], r["total"]] for r in feature_table.long_features(whole, "ent").collect()}
     assert got == want
     wide = {r["ent"]: r for r in feature_table.wide_features(whole, "ent", ["A", "none"], "typ").collect()}
-    assert wide["hub"]["A__n_events"] == sum(v[0] for k, v in want.items() if k[:2] == ("hub", "A")) and wide["silent"]["A__total"] == 0 and wide["hub"]["none__n_events"] == 0 and wide["hub"]["none__last_at"] is None
+    assert wide["hub"]["A_n_events"] == sum(v[0] for k, v in want.items() if k[:2] == ("hub", "A")) and wide["silent"]["A_total"] == 0 and wide["hub"]["none_n_events"] == 0 and wide["hub"]["none_last_at"] is None
 
 
 def test_features_empty(spark):
     df = spark.createDataFrame([], "event_id string, ent string, typ string, at long, cents long")
-    cells = feature_table.cell_features(df, "ent", ["typ"], "event_id", "at", "cents")
-    assert feature_table.feature_blocks(cells, "ent", ["typ"], df.select("ent")).count() == 0
+    assert feature_table.feature_blocks(df, "ent", ["typ"], "event_id", "at", "cents", df.select("ent")).count() == 0
 
 
 def test_times_and_amounts(spark):

@@ -7,7 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import materialize
+
 HOT_SHARE = 1 / 1000
+#: Bits of the filter of repeated identifiers: 2**26 of them in 2**20 words of 64, whatever the input.
+BITS = 26
+
+
+def split_by_frequency(rows: DataFrame, key: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows`` in two parts, those whose key certainly occurs once (or is null) and the rest, and (__h, __n) of the repeated keys' hashes.
+
+    Only hashes of keys are exchanged. The repeated ones are kept as bits of a filter of fixed size, which is broadcast;
+    rows whose bit is not set stay in their task. Keys that share a bit with a repeated one are in the rest too.
+    """
+    h = F.xxhash64(key)
+    repeated = materialize(rows.where(key.isNotNull()).select(h.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    bit = F.pmod("__h", F.lit(1 << BITS))
+    words = repeated.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__bits"))
+    split = rows.withColumn("__h", F.when(key.isNotNull(), h)).withColumn("__bit", bit).withColumn("__word", F.shiftright("__bit", 6)).join(F.broadcast(words), "__word", "left")
+    set_ = F.coalesce(F.expr("getbit(__bits, cast(__bit & 63 as int)) = 1"), F.lit(False))
+    single, several = split.where(~set_), split.where(set_)
+    return single.drop("__h", "__bit", "__word", "__bits"), several.drop("__bit", "__word", "__bits"), repeated
 
 
 def mark_first(
@@ -20,10 +40,11 @@ def mark_first(
 ) -> DataFrame:
     """Every row of ``stored`` and ``new`` with ``is_first``: true for the one delivery of a message to keep.
 
-    Identifiers are split by their aggregated frequency. Singletons pass directly; only rows of repeated identifiers
-    are ranked. Repeated identifiers that hold more than ``hot_share`` of the rows (at most ``1 / hot_share`` of them
-    can exist, which bounds the broadcast) are ranked in two steps, within a salt and then among the salts' firsts, so
-    no task ever holds a whole hot group.
+    Identifiers are split by their aggregated frequency (see :func:`split_by_frequency`): singletons pass directly, their
+    payload never leaving its task, and the others are ranked by identifier. The more identifiers repeat, the more rows
+    are ranked, but no result changes. Repeated identifiers that hold more than ``hot_share`` of the rows (at most
+    ``1 / hot_share`` of them can exist, which bounds that broadcast) are ranked within salts against the least ``order``
+    of all, an aggregate, so no task ever holds a whole hot group.
 
     Nulls: a row whose key is null is a message of its own and is first. Ties in ``order`` are broken by a hash of the
     whole row; rows equal in every column are interchangeable. ``new`` may have other or fewer columns (missing ones
@@ -36,21 +57,16 @@ def mark_first(
         key.alias("__key"),
         F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.xxhash64(*[rows[c] for c in names if not _has_map(rows, c)]).alias("h")).alias("__order"),
     )
-    repeated = packed.where("__key is not null").groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    least = max(int(rows.count() * hot_share), 1)
-    hot = F.broadcast(repeated.where(F.col("__n") > least).select("__key", F.lit(True).alias("__hot")))
-    split = packed.join(hot, "__key", "left")
-
-    usual = split.where("__hot is null").drop("__hot").join(repeated.where(F.col("__n") <= least), "__key", "left")
-    single = usual.where("__n is null").select("__row", F.lit(True).alias("is_first"))
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__order"))
-    ranked = usual.where("__n is not null").select("__row", (rank == 1).alias("is_first"))
-
-    salted = split.where("__hot").withColumn("__salt", F.pmod(F.xxhash64("__order"), F.lit(salts)))
-    within = salted.withColumn("__r", F.row_number().over(Window.partitionBy("__key", "__salt").orderBy("__order")))
-    later = within.where("__r > 1").select("__row", F.lit(False).alias("is_first"))
-    among = within.where("__r = 1").select("__row", (F.row_number().over(Window.partitionBy("__key").orderBy("__order")) == 1).alias("is_first"))
-    every = single.unionByName(ranked).unionByName(later).unionByName(among)
+    single, several, repeated = split_by_frequency(packed, F.col("__key"))
+    hot = repeated.where(F.col("__n") > max(int(rows.count() * hot_share), 1)).select("__h")
+    if hot.isEmpty():
+        first = F.row_number().over(Window.partitionBy("__key").orderBy("__order")) == 1
+    else:
+        least = several.join(F.broadcast(hot), "__h").groupBy("__key").agg(F.min("__order").alias("__least"))
+        several = several.join(F.broadcast(least), "__key", "left").withColumn("__salt", F.when(F.col("__least").isNotNull(), F.pmod(F.xxhash64("__order"), F.lit(salts))))
+        # Rows that tie for the least have one salt.
+        first = (F.row_number().over(Window.partitionBy("__key", "__salt").orderBy("__order")) == 1) & (F.col("__least").isNull() | (F.col("__order") == F.col("__least")))
+    every = single.select("__row", F.lit(True).alias("is_first")).unionByName(several.select("__row", first.alias("is_first")))
     return every.select(*[F.col("__row").getField(c).alias(c) for c in names], "is_first")
 
 

@@ -27,6 +27,16 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("delivery_id", N.canonical_uuid(F.col("event_id")).alias("event_id"), N.instant_millis(F.col("timestamp")).alias("ts_millis"))
 
 
+def p1_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """What the deliveries of the latest month add to those stored before: one delivery of each message not stored yet."""
+    log = _messages(spark, d).select("delivery_id", "event_id", F.date_trunc("month", "received_at").alias("month"))
+    last = log.agg(F.max("month").alias("month"))  # one row
+    stored = log.join(F.broadcast(last), "month", "left_anti").select("delivery_id", "event_id", F.lit(0).alias("is_new"))
+    new = log.join(F.broadcast(last), "month", "left_semi").select("event_id", "delivery_id", F.lit(1).alias("is_new"), "month")
+    kept = dedupe.deduplicate(stored, N.canonical_uuid(F.col("event_id")), [F.col("is_new"), F.col("delivery_id")], new)
+    return kept.where("is_new = 1").select("delivery_id")
+
+
 def _flat(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     shown = _messages(spark, d).where("event_type = 'PROMPT_SHOWN'").select("delivery_id", "event_id", "metadata", "metadata_json")
     once = dedupe.deduplicate(shown, N.canonical_uuid(F.col("event_id")), [F.col("delivery_id")])
@@ -76,9 +86,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    cells = feature_table.cell_features(_events(spark, d), "canonical_entity_id", ["event_type", "source_domain"], "event_id", "epoch", "cents")
     entities = spark.read.parquet(f"{d}/entity_profile.parquet").select("canonical_entity_id")
-    return feature_table.feature_blocks(cells, "canonical_entity_id", ["event_type", "source_domain"], entities)
+    return feature_table.feature_blocks(_events(spark, d), "canonical_entity_id", ["event_type", "source_domain"], "event_id", "epoch", "cents", entities)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +104,14 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("canonical_entity_id").join(sums, "canonical_entity_id", "left").select("canonical_entity_id", F.coalesce("n_types", F.lit(0)).alias("n_types"), F.coalesce("n_events", F.lit(0)).alias("n_events"), "last_epoch", F.coalesce("total_cents", F.lit(0)).alias("total_cents"))
 
 
+def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One row per entity with count, latest time and total of every event type there is, a column each."""
+    whole = _blocks(spark, d)
+    # The vocabulary: some hundreds of types.
+    types = [r[0] for r in feature_table.long_features(whole, "canonical_entity_id").select("event_type").distinct().orderBy("event_type").collect()]
+    return feature_table.wide_features(whole, "canonical_entity_id", types)
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     moves = _messages(spark, d).where("event_type LIKE 'IDENTITY\\_%'").select(
         "delivery_id", "case_id", "entity_id", "officer_id", "reason", N.canonical_uuid(F.col("event_id")).alias("event_id"), N.instant_millis(F.col("timestamp")).alias("at"), N.state_name(F.col("previous_state")).alias("previous_state"), N.state_name(F.col("requested_state")).alias("requested_state")
@@ -123,7 +140,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return cdc.apply_changes(_links(spark, d), ["case_id", "entity_id"], ["current_state", "officer_id", "reason"], "seq")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_prompts, p3_findings, p4_found, p4_entities, p5_found, p5_links)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_arrivals, p3_found, p3_prompts, p3_findings, p4_found, p4_entities, p4_wide, p5_found, p5_links)}
 
 
 _UUID = "lower(regexp_replace(regexp_replace(trim({c}), '^urn:uuid:', '', 'i'), '[{{}} -]', '', 'g'))".replace("{{}}", "{}")
@@ -197,6 +214,8 @@ SQL = {
                     WHERE event_id IS NOT NULL AND rn > 1""",
     "p1_kept": f"""SELECT delivery_id, {_EVENT_ID} AS event_id, {_MS} AS ts_millis
                    FROM (SELECT *, row_number() OVER (PARTITION BY coalesce({_EVENT_ID}, CAST(delivery_id AS VARCHAR)) ORDER BY delivery_id) AS rn FROM features5_6_events) WHERE rn = 1""",
+    "p1_arrivals": f"""WITH m AS (SELECT *, {_EVENT_ID} AS uid, date_trunc('month', received_at) IS NOT DISTINCT FROM (SELECT max(date_trunc('month', received_at)) FROM features5_6_events) AS is_new FROM features5_6_events),
+                       r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(uid, CAST(delivery_id AS VARCHAR)) ORDER BY is_new, delivery_id) AS rn FROM m) SELECT delivery_id FROM r WHERE is_new AND rn = 1""",
     "p3_found": _FLAT + """SELECT uid AS event_id, decision_id, finding_id, e.r->>'$.evidence_ref' AS evidence_ref FROM g, LATERAL (SELECT unnest(ev) AS r) e
                            UNION ALL SELECT uid, decision_id, finding_id, '' FROM g WHERE len(ev) = 0""",
     "p3_prompts": _FLAT + """SELECT uid AS event_id, concat(delivery_id, '/', coalesce(uid, '')) AS row_key, decision_id, r->>'$.prompt_type' AS prompt_type, r->>'$.context_snapshot.case_id' AS case_id,
@@ -206,6 +225,10 @@ SQL = {
     "p4_found": _CELLS + "SELECT * FROM cells",
     "p4_entities": _CELLS + """SELECT i.canonical_entity_id, coalesce(count(DISTINCT event_type), 0) AS n_types, CAST(coalesce(sum(n_events), 0) AS BIGINT) AS n_events, max(last_epoch) AS last_epoch, CAST(coalesce(sum(total_cents), 0) AS BIGINT) AS total_cents
                                FROM (SELECT canonical_entity_id FROM entity_profile WHERE canonical_entity_id IS NOT NULL UNION SELECT canonical_entity_id FROM cells) i LEFT JOIN cells USING (canonical_entity_id) GROUP BY 1""",
+    "p4_wide": _CELLS + """, i AS (SELECT canonical_entity_id FROM entity_profile WHERE canonical_entity_id IS NOT NULL UNION SELECT canonical_entity_id FROM cells),
+                           g AS (SELECT x.canonical_entity_id, y.event_type, coalesce(z.n, 0) AS n, z.l, coalesce(z.t, 0) AS t FROM i x CROSS JOIN (SELECT DISTINCT event_type FROM cells) y
+                                 LEFT JOIN (SELECT canonical_entity_id, event_type, CAST(sum(n_events) AS BIGINT) AS n, max(last_epoch) AS l, CAST(sum(total_cents) AS BIGINT) AS t FROM cells GROUP BY 1, 2) z ON z.canonical_entity_id = x.canonical_entity_id AND z.event_type = y.event_type)
+                           PIVOT g ON event_type USING any_value(n) AS n_events, any_value(l) AS last_at, any_value(t) AS total GROUP BY canonical_entity_id""",
     "p5_found": _CHANGES + "SELECT case_id, entity_id, s AS current_state FROM last WHERE s <> 'NONE'",
     "p5_links": _CHANGES + "SELECT case_id, entity_id, s AS current_state, officer AS officer_id, reason FROM last WHERE s <> 'NONE'",
 }

@@ -36,19 +36,36 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "tracewri
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one the session names, else one of this process."""
+    """The folder all executors share: the one the session names, else, in a single JVM only, one of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster must name its shared folder in spark.checkpoint.dir")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tracewright-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return "file://" + _LOCAL[0]
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder in ``buckets`` files by hash of ``key`` and return a scan of it: joins of such tables on the key move nothing."""
+    spark = df.sparkSession
+    name = f"tw_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    _delete_on_exit(spark, path)
+    return spark.table(name)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and return a scan of it.
 
@@ -61,9 +78,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
