@@ -28,6 +28,10 @@ PIECE, FANOUT = 8192, 64
 LONG = 256
 #: A task builds a diagram of about so many distinct sequences at a time, which bounds its memory; their supports add up.
 BLOCK = 40_000
+#: Distinct sequences of one mining task; they lie together in order, as sequences that begin alike share most of a diagram.
+TASK_ROWS = 5_000
+#: Longer candidates are counted along with shorter ones, from the same diagrams, while there are no more than this.
+AHEAD = 20_000
 
 
 class Diagram:
@@ -243,8 +247,9 @@ def frequent_subsequences(events: DataFrame, entity: Column, item: Column, index
     index a pattern takes one. Patterns from length 1 on may be asked for. An empty table gives no pattern.
 
     A hot entity is cut into pieces of its index, each reduced to what patterns of the longest length can need, before
-    they are joined. Only supports and frequent patterns reach the driver: the items (each held by ``min_share`` of the
-    entities, so at most ``1 / min_share`` times the mean number of distinct items), pairs of them, and the result.
+    they are joined. The result is a table; what reaches the driver are the frequent items (each held by ``min_share`` of
+    the entities, so at most ``1 / min_share`` times the mean number of distinct items) and the frequent patterns that
+    longer ones are grown from.
     """
     spark = events.sparkSession
     ship(spark)
@@ -257,27 +262,33 @@ def frequent_subsequences(events: DataFrame, entity: Column, item: Column, index
     found = whole.select("e", "x").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()
     names = sorted(r["x"] for r in found)
     code = {x: k for k, x in enumerate(names)}
-    result = [([r["x"]], r["n"]) for r in found] if shortest == 1 else []
+    result = spark.createDataFrame([([r["x"]], r["n"]) for r in found] if shortest == 1 else [], shape)
+    spelled = lambda counts: counts.select(F.transform("pattern", lambda c: F.get(F.array(*[F.lit(x) for x in names]), c)).alias("pattern"), "support")
     if longest > 1 and names:
         coded = whole.join(F.broadcast(spark.createDataFrame([(x, k) for x, k in code.items()], "x string, c int")), "x").select("e", "i", "c")
         sequences = materialize(_gather(coded, longest))
-        frequent = {tuple(r["pattern"]): r["support"] for r in _sum(sequences.mapInPandas(_pairs, "pattern array<int>, support bigint"), least)}
+        pairs = _sum(sequences.mapInPandas(_pairs, "pattern array<int>, support bigint"), least)
         if shortest <= 2:
-            result += [([names[c] for c in p], n) for p, n in frequent.items()]
+            result = result.unionByName(spelled(pairs))
         if longest > 2:
-            trimmed = _trim(sequences, _joined(set(frequent)))
-            for length in range(3, longest + 1):
-                wanted = _joined(set(frequent))
-                if not wanted:
-                    break
-                frequent = {tuple(r["pattern"]): r["support"] for r in _sum(trimmed.mapInPandas(_mine(wanted), "pattern array<int>, support bigint"), least)}
-                if length >= shortest:
-                    result += [([names[c] for c in p], n) for p, n in frequent.items()]
-    return spark.createDataFrame(result, shape)
-
-
-def _sum(counts: DataFrame, least: int) -> list:
-    return counts.groupBy("pattern").agg(F.sum("support").alias("support")).where(F.col("support") >= least).collect()
+            frequent = {tuple(r["pattern"]) for r in pairs.collect()}
+            wanted, length, trimmed = _joined(frequent), 3, None
+            while wanted and length <= longest:
+                if trimmed is None:
+                    trimmed = _trim(sequences, wanted)
+                asked, step = [*wanted], wanted
+                while length < longest and (step := _joined(set(step))) and len(asked) + len(step) <= AHEAD:
+                    asked, length = asked + step, length + 1
+                counts = _sum(trimmed.mapInPandas(_mine(asked), "pattern array<int>, support bigint"), least)
+                result = result.unionByName(spelled(counts.where(F.size("pattern") >= shortest)))
+                # Only what the next length grows from comes to the driver.
+                wanted = _joined({tuple(r["pattern"]) for r in counts.where(F.size("pattern") == length).collect()}) if length < longest else []
+                length += 1
+    return result
+
+
+def _sum(counts: DataFrame, least: int) -> DataFrame:
+    return materialize(counts.groupBy("pattern").agg(F.sum("support").alias("support")).where(F.col("support") >= least))
 
 
 def _trim(sequences: DataFrame, wanted: list[tuple[int, ...]]) -> DataFrame:
@@ -297,7 +308,8 @@ def _trim(sequences: DataFrame, wanted: list[tuple[int, ...]]) -> DataFrame:
                     out.append(seq)
             yield pd.DataFrame({"s": out})
 
-    return materialize(sequences.mapInPandas(run, "s array<int>").groupBy("s").agg(F.count(F.lit(1)).alias("w")))
+    held = materialize(sequences.mapInPandas(run, "s array<int>").groupBy("s").agg(F.count(F.lit(1)).alias("w")))
+    return held.repartitionByRange(max(1, -(-held.count() // TASK_ROWS)), "s")
 
 
 def _mine(wanted: list[tuple[int, ...]]):
