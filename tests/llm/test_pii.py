@@ -92,3 +92,46 @@ def test_ordinary_words_of_all_documents(spark):
     docs = spark.createDataFrame([(i, f"Anna {w.title()} came") for i, w in enumerate(["miller", "baker", "stone"] * 20)] + [(100, "the baker ate"), (101, "a stone fell"), (102, None)], "doc_id long, text string")
     lexicon = spark.createDataFrame([("anna", "given"), ("miller", "family")], "name_part string, part_kind string")
     assert pii.train(docs, lexicon, docs=1)[0].ordinary == {"baker", "stone"}
+
+
+def letter(rng, given, family):
+    """A kind of text the model has not seen: correspondence instead of encyclopedia pages."""
+    g, f = rng.choice(given), rng.choice(family)
+    name = rng.choice([f"{g} {f}", f"{g[0]}. {f}"])
+    num = "".join(rng.choice("0123456789") for _ in range(10))
+    phone = rng.choice([f"+999-{num[:3]}-{num[3:6]}-{num[6:]}", f"({num[:3]}) {num[3:6]}-{num[6:]}"])
+    mail = f"{g.lower()}.{f.lower()}@post.example"
+    street = f"{rng.randrange(1, 99)} {rng.choice(['Harbour', 'Cedar', 'Quarry'])} {rng.choice(['Road', 'Lane', 'Avenue'])}"
+    return rng.choice(
+        [
+            (f"Dear Mr {name}, thank you for your letter of 3 May.", {(name, "NAME")}),
+            (f"Please reach {name} at {mail} before Friday.", {(name, "NAME"), (mail, "EMAIL")}),
+            (f"Our driver will collect it from {street} tomorrow; mobile {phone}.", {(street, "ADDRESS"), (phone, "PHONE")}),
+            (f"We enclose invoice 20{num[:2]}/{num[2:5]} for 3 crates and 12 boxes.", set()),
+            (f"Signed on behalf of the board by {name} in 1998.", {(name, "NAME")}),
+        ]
+    )
+
+
+def test_text_of_another_kind(model):
+    rng = random.Random(9)
+    hit = said = true = 0
+    for _ in range(800):
+        text, want = letter(rng, GIVEN, FAMILY)
+        got = {(text[a:b], k) for a, b, k in pii.find(text, *model)}
+        hit, said, true = hit + len(got & want), said + len(got), true + len(want)
+    # Invoice numbers are taken for identity numbers: nothing like them was in the training text.
+    assert hit / true >= 0.9 and hit / said >= 0.8
+
+
+def test_long_names_are_candidates(model):
+    text = "It was built by Jan van der Berg and Maria de la Cruz Ortega Lopez in 1901."
+    spans = {text[a:b] for a, b, kind, _ in pii.candidates(text, model[0]) if kind == "NAME"}
+    assert {"Jan van der Berg", "Maria de la Cruz", "Maria de la Cruz Ortega Lopez"} <= spans
+
+
+def test_lexicon_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LEXICON", 1)
+    docs, lex = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([("a", "given"), ("b", "given")], "name_part string, part_kind string")
+    with pytest.raises(ValueError):
+        pii.train(docs, lex)

@@ -34,7 +34,12 @@ _STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Terrace|Close|Way|Drive|Row|
 _STRASSE = r"(?:[Ss]tra(?:ß|ss)e|[Ww]eg|[Gg]asse|[Aa]llee|[Pp]latz|[Ss]tr\.)"
 _RUE = r"(?:[Rr]ue|[Aa]venue|[Pp]lace|[Cc]hemin|[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Cc]amino|[Vv]ia)"
 _LABELS = {"tel", "telefon", "fon", "phone", "ring", "call", "tél", "mobile", "handy", "fax"}
-_FIRM = {"ltd", "limited", "inc", "gmbh", "ag", "plc", "llc", "co", "company", "sons", "bros", "brothers", "trust", "society", "press", "railway", "station"}
+_FIRM = {"ltd", "limited", "inc", "gmbh", "ag", "plc", "llc", "co", "company", "sons", "bros", "brothers", "trust", "society", "press", "railway", "station", "bahnhof", "gare", "estación"}
+_PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|du|la|le|el|al|bin|ter|zu)"
+# Words that say a number is personal, or that it is none.
+_PHONE_SAID = re.compile(r"(?:\b(?:tel|phone|fon|call|telefon|ring|telephone|téléphone|teléfono|mobile|móvil|handy|fax|cell|sms|text|txt)\b)\W{0,4}(?:me\W{1,2})?$")
+_IDENT_SAID = re.compile(r"(?:ssn|\bid|\bid[ -]?no|\bid number|passport(?: no)?|national number|insurance no|ausweis|dni|nie|nif|tax no|licen[cs]e(?: no)?)\W{0,4}$")
+_OTHER_SAID = re.compile(r"(?:isbn|issn|oclc|doi|pmid|\(id|\b(?:no|nr|number|nummer|num|ref|code|version|check\w*|\w+check))\W{0,4}$")
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "m", "mme", "sr", "sra", "don", "sir"}
 
 _EMAIL = re.compile(r"[\w.+%'-]+(?:@|&#64;|\s?[\[(](?:at|AT)[\])]\s?)[\w-]+(?:(?:\.|\s?[\[(](?:dot|DOT)[\])]\s?)[\w-]+)+")
@@ -47,8 +52,12 @@ _ADDRESS = (
     re.compile(rf"{_FLAT}(?P<core>\b[A-ZÄÖÜ][\w'’-]*(?:\s{_CAP})??\s?{_STRASSE}\s\d{{1,4}}(?:\s?[a-zA-Z]\b)?){_PLACE}"),
     re.compile(rf"{_FLAT}(?P<core>\b(?:\d{{1,4}}[a-zA-Z]?(?:\s(?:bis|ter))?,?\s)?{_RUE}(?:\s(?:de|del|des|du|la|le|las|los|d'))*\s?{_CAP}(?:\s{_CAP})?(?:,?\s\d{{1,4}}[a-zA-Z]?\b)?){_PLACE}"),
 )
-_RUN = re.compile(rf"(?<![\w@]){_CAP}(?:\.(?=\s))?(?:,?[  ]{_CAP}(?:\.(?=\s))?)+")
-_PART = re.compile(r"[\w'’-]+\.?")
+_RUN = re.compile(rf"(?<![\w@]){_CAP}(?:\.(?=\s))?(?:,?[  ](?:{_PARTICLE}[  ]){{0,3}}{_CAP}(?:\.(?=\s))?)+")
+_PART = re.compile(rf"(?:{_PARTICLE}[  ])*[\w'’-]+\.?")
+#: Most parts of a name; particles go with the part they stand before.
+PARTS = 4
+#: More name parts than this are no lexicon to be held by every task.
+LEXICON = 1_000_000
 _LOWER = re.compile(r"(?<![\w'’])[a-zà-ÿ]{3,}(?![\w'’])")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
@@ -105,10 +114,11 @@ def _names(line: str, lex: Lexicon, drop: random.Random | None) -> Iterator[tupl
     """Candidate names with features and, for training, what the lexicon says: 'both', 'one', 'none' (and ordinary words) or ''."""
     for run in _RUN.finditer(line):
         parts = [(m.start() + run.start(), m.end() + run.start(), m.group()) for m in _PART.finditer(run.group())]
-        for i, j in ((i, j) for i in range(len(parts)) for j in (i + 2, i + 3) if j <= len(parts)):
+        for i, j in ((i, j) for i in range(len(parts)) for j in range(i + 2, i + PARTS + 1) if j <= len(parts)):
             some = parts[i:j]
             joins = [line[some[k][1] : some[k + 1][0]] for k in range(len(some) - 1)]
-            words = [p[2] for p in some]
+            # What a part is told by is its last word.
+            words = [p[2].split()[-1] for p in some]
             kinds = "".join(_kind(w) for w in words)
             if joins[0].startswith(","):
                 if any("," in x for x in joins[1:]):
@@ -122,20 +132,26 @@ def _names(line: str, lex: Lexicon, drop: random.Random | None) -> Iterator[tupl
                 continue
             if _kind(given) == "I" and not given.endswith("."):
                 continue
-            if _kind(family) == "I" or (j - i == 3 and kinds[1] != "I" and form == "GF") or (j - i == 3 and form == "F,G" and kinds[2] != "I"):
+            if _kind(family) == "I":
                 continue
             fam, giv = family.rstrip(".").lower(), given.rstrip(".").lower()
             end = some[-1][1]
             if line[end - 1] == "." and kinds[-1] != "I":
                 end -= 1
             in_f, in_g = fam in lex.family, giv in lex.given
-            said = "both" if in_f and (in_g or _kind(given) == "I") or j - i == 3 and (in_f or in_g) else "one" if in_f or in_g else ""
+            middle = kinds[1:-1] if form == "GF" else kinds[2:]
+            plain = set(middle) <= {"I"}
+            said = "both" if plain and (in_f and (in_g or _kind(given) == "I") or middle and (in_f or in_g)) else "one" if in_f or in_g else ""
             if drop and drop.random() < 0.5:
                 in_f = False
             if drop and drop.random() < 0.5:
                 in_g = False
             g = "I" if _kind(given) == "I" else "L" if in_g else "u"
             feats = ["b", f"form={form}/{kinds}", f"lex={g}{'L' if in_f else 'u'}", f"n={j - i}"]
+            if not plain:
+                feats.append("middle=" + middle)
+            if any(" " in p[2] for p in some):
+                feats.append("particle")
             feats += ["f" + x for x in _family_form(fam)]
             if fam in lex.ordinary:
                 feats.append("ford" + ("L" if in_f else ""))
@@ -158,7 +174,7 @@ def _names(line: str, lex: Lexicon, drop: random.Random | None) -> Iterator[tupl
                 feats.append("more-left")
             if j < len(parts):
                 feats.append("more-right=" + ("I" if _kind(parts[j][2]) == "I" else "C"))
-            if said == "" and (shouted or fam in lex.ordinary or giv in lex.ordinary):
+            if not plain and said != "both" or said == "" and (shouted or fam in lex.ordinary or giv in lex.ordinary):
                 said = "none"
             yield some[0][0], end, feats + _context(line, some[0][0], end), said
 
@@ -187,9 +203,9 @@ def candidates(line: str, lex: Lexicon, drop: random.Random | None = None, label
             continue
         feats = _number_features(text) + _context(line, a, b)
         low = line[max(0, a - 24) : a].lower()
-        phone = bool(re.search(r"(tel|phone|fon|call|telefon|ring|txt me|téléphone|teléfono|mobile|móvil)\W{0,4}$", low)) or text[0] == "+"
-        ident = bool(re.search(r"(ssn|id no|passport|national number|insurance no|ausweis|id number|dni|nie)\W{0,4}$", low)) or bool(re.match(r"[A-Z]{1,2} ?\d|\d{3}-\d{2}-\d{4}$|\d{3} \d{3} \d{3} \d$", text))
-        other = bool(re.search(r"(isbn|catalogue no|linkcheck|issn|oclc|doi|\(id)\W{0,4}$", low)) or "isbn" in feats
+        phone = bool(_PHONE_SAID.search(low)) or text[0] == "+"
+        ident = bool(_IDENT_SAID.search(low)) or bool(re.match(r"[A-Z]{1,2} ?\d|\d{3}-\d{2}-\d{4}$|\d{3} \d{3} \d{3} \d$", text))
+        other = bool(_OTHER_SAID.search(low)) and not _IDENT_SAID.search(low) or "isbn" in feats
         for kind, mine, theirs in (("PHONE", phone, ident or other), ("ID_NUMBER", ident, phone or other)):
             add(a, b, kind, feats, "yes" if mine and not other else "no" if theirs else "?")
     if any(c.isdigit() for c in line):
@@ -209,12 +225,13 @@ def candidates(line: str, lex: Lexicon, drop: random.Random | None = None, label
                         feats = ["b", f"pattern={k}", "flat" if a < a0 else "noflat" if len(starts) > 1 else "", "place" if b > b0 else "noplace" if len(ends) > 1 else ""] + _context(line, a, b)
                         if place:
                             feats += [("in-" if b > b0 else "out-") + x for x in (f"s3={place[-3:]}", f"s4={place[-4:]}", f"w={place}" if place in _LABELS else "", "num" if label_word else "")]
-                        after = line[m.end() : m.end() + 9]
-                        add(a, b, "ADDRESS", [f for f in feats if f], "no" if not full or after.startswith(" railway") else "yes")
+                        after = re.match(r"\s(\w+)", line[m.end() :])
+                        add(a, b, "ADDRESS", [f for f in feats if f], "no" if not full or after and after.group(1).lower() in _FIRM else "yes")
     for a, b, feats, said in _names(line, lex, drop):
         label = "?"
         if labels is not None:
-            label = "no" if said == "none" or re.match(r"\s(?:Ltd|railway|station)", line[b : b + 9]) else "yes" if said == "both" else "?"
+            after = re.match(r"\s(\w+)", line[b:])
+            label = "no" if said == "none" or after and after.group(1).lower() in _FIRM else "yes" if said == "both" else "?"
         add(a, b, "NAME", feats, label)
     return out
 
@@ -377,7 +394,9 @@ def train(documents: DataFrame, lexicon: DataFrame, text: str = "text", key: str
     total = max(documents.count(), 1)
     share = min(1.0, 1.3 * docs / total)
     sample = documents.where((F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col(text).isNotNull()).select(text).limit(docs).collect()
-    parts = lexicon.where("name_part is not null").select("name_part", "part_kind").collect()
+    parts = lexicon.where("name_part is not null").select("name_part", "part_kind").distinct().limit(LEXICON + 1).collect()
+    if len(parts) > LEXICON:
+        raise ValueError(f"a lexicon of more than {LEXICON} parts")
     return fit([x for r in sample for x in r[0].split("\n")], {p[0] for p in parts if p[1] == "given"}, {p[0] for p in parts if p[1] == "family"}, ordinary=ordinary_words(documents, text))
 
 

@@ -56,7 +56,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_targets.parquet"))[1]
 
 
+_MODELS: dict = {}
+
+
 def _model(spark: SparkSession, d: str):
+    """Fitted once for each folder and application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _MODELS:
+        _MODELS[key] = _fitted(spark, d)
+    return _MODELS[key]
+
+
+def _fitted(spark: SparkSession, d: str):
     return pii.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/name_lexicon.parquet"))
 
 
