@@ -11,20 +11,26 @@ from pyspark.sql import functions as F
 
 from tracewright.session import materialize
 
+#: Documents of one cell of the prefix sum, were all of one source and size.
+CELL = 50_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this public vocabulary splits text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def count_tokens(documents: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``documents`` with the number of tokens of ``text`` in a public byte-level vocabulary; null and empty texts have 0."""
+    """``documents`` with the number of tokens of ``text`` in a public byte-level vocabulary; null and empty texts have 0.
+
+    ``vocabulary`` is read by the driver and broadcast (a file of some megabytes), so executors need no such file.
+    """
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("bigint")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value.splitlines() if line)}
         enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for s in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s], dtype="int64")
@@ -58,12 +64,13 @@ def draw(sizes: DataFrame, rates: DataFrame, key: str = "doc_id", source: str =
     integer boundary it crosses. A source therefore gives its expected number of copies to within one, spread evenly
     over all sizes, and no document exceeds its rate rounded up.
 
-    The prefix sum is taken in two steps: over the counts of (size class, hash bucket) cells, a number that does not
-    grow with the documents, then within cells, so no source is ever one task. Null sources are not drawn; repeated rows
-    are documents of their own.
+    The prefix sum is taken in two steps: over the counts of (size class, hash bucket) cells, then within cells. A class
+    has so many buckets that a cell holds about ``CELL`` documents, so no source or size is ever one task, and the cells'
+    counts are all that is summed up by source. Null sources are not drawn; repeated rows are documents of their own.
     """
+    buckets = max(16, -(-sizes.count() // CELL))
     seeded = sizes.join(rates.where("rate > 0").select(source, "rate"), source)
-    cell = seeded.withColumn("__class", F.floor(F.log2(F.coalesce(F.col(size), F.lit(0)) + F.lit(1)) * 32).cast("int")).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__bucket", F.pmod("__hash", F.lit(64)).cast("int"))
+    cell = seeded.withColumn("__class", F.floor(F.log2(F.coalesce(F.col(size), F.lit(0)) + F.lit(1)) * 32).cast("int")).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     counts = cell.groupBy(source, "__class", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(source).orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("__n").fillna({"__before": 0})
     ranked = cell.withColumn("__r", F.row_number().over(Window.partitionBy(source, "__class", "__bucket").orderBy("__hash", key))).join(before, [source, "__class", "__bucket"])
