@@ -55,13 +55,16 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 
 def token_levenshtein(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of tokens: each distinct token becomes one character of a built-in edit distance."""
-    both = F.array_distinct(F.concat(a, b))
-    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.substring(F.lit(_ALPHABET), F.array_position(both, x).cast("int"), F.lit(1))), "")
-    return F.levenshtein(text(a), text(b))
-
-
-_ALPHABET = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 2000))
+    """Edit distance of two arrays of tokens: each distinct token becomes one character of a built-in edit distance.
+
+    There are characters for a million distinct tokens of a pair; more raise an error. Null tokens count as one token.
+    """
+    clean = lambda xs: F.transform(xs, lambda x: F.coalesce(x.cast("string"), F.lit("\u0000")))
+    both = F.array_distinct(F.concat(clean(a), clean(b)))
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint") + 0xFFFF), 8, "0")), "UTF-32")
+    code = F.map_from_entries(F.transform(both, lambda x, i: F.struct(x, char(i + 1))))
+    text = lambda xs: F.array_join(F.transform(clean(xs), lambda x: F.try_element_at(code, x)), "")
+    return F.when(F.size(both) <= 1_000_000, F.levenshtein(text(a), text(b))).otherwise(F.raise_error(F.lit("more than a million distinct tokens")).cast("int"))
 
 
 def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:

@@ -105,16 +105,27 @@ def isolation_scores(wide: DataFrame, key: str, names: Sequence[str], sample_row
     return wide.select(key, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(run, f"`{key}` {kind}, score double")
 
 
+#: Ranges of scores in ranking metrics.
+BUCKETS = 1024
+
+
 def ranking_metrics(scored: DataFrame, score: str, label: str, at: float = 0.5) -> DataFrame:
     """One row: positives, ROC AUC (ties share their mean rank), average precision (ties together), precision, recall, F1 and false positive rate.
 
-    Rows are first counted by score; the cumulative sums run over the distinct scores. A single class gives null AUC.
+    Rows are first counted by score. The cumulative sums run over at most ``BUCKETS`` equal ranges of scores, then within
+    each, so the distinct scores are never one task. A single class gives null AUC; null scores are left out.
     """
-    c = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("s"))
-    c = c.withColumn("tp", F.sum("p").over(down)).withColumn("k", F.sum("n").over(down))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(up), F.lit(0)))
+    c = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    ends = c.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    c = c.crossJoin(F.broadcast(ends)).withColumn("b", F.least(F.floor(F.coalesce(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))).drop("lo", "hi")
+    whole = c.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    over = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
+    under = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.select("b", F.coalesce(F.sum("bp").over(over), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("n0"), F.coalesce(F.sum(F.col("bn") - F.col("bp")).over(under), F.lit(0)).alias("neg0"))
+    down = Window.partitionBy("b").orderBy(F.desc("s"))
+    up = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.join(F.broadcast(base), "b").withColumn("tp", F.sum("p").over(down) + F.col("p0")).withColumn("k", F.sum("n").over(down) + F.col("n0"))
+    c = c.withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(up), F.lit(0)) + F.col("neg0"))
     r = c.agg(
         F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"),
         F.sum(F.col("p") * (F.col("neg_below") + (F.col("n") - F.col("p")) / 2)).alias("u"), F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("ap"),

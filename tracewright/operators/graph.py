@@ -138,16 +138,16 @@ def newest_events(events: DataFrame, n: int, t: str = "t", key: str = "event_id"
     return events.orderBy(F.desc(t), F.desc(key)).limit(n)
 
 
-def roots(links: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
+def roots(links: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, root, depth): the end of each node's chain of parents, by pointer jumping.
 
-    Every round doubles the distance jumped, so the number of rounds is the logarithm of the longest chain. Nodes without
+    Every round doubles the distance jumped, so after as many rounds as the number of nodes has bits only cycles are left. Nodes without
     a parent are their own root at depth 0. A cycle never ends its chain and is left out; several parents follow the
     least.
     """
     one = links.where(F.col(child).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(parent).alias("up"))
     at = materialize(one.select("node", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("up").isNull().alias("done")))
-    for _ in range(rounds):
+    for _ in range(at.count().bit_length() + 1):
         nxt = at.select(F.col("node").alias("root"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("done").alias("f2"))
         # A parent that is no row of its own is a root.
         step = at.where("not done").join(nxt, "root", "left").select("node", F.coalesce("r2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("f2", F.lit(True)).alias("done"))

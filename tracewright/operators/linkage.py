@@ -7,11 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import jaro_winkler
 from tracewright.session import materialize
 
 # Probability that a field agrees in a match and in a non-match, and the prior of a match.
-AGREE = {"actor_name": (0.9, 0.05), "actor_id": (0.95, 0.01), "device_id": (0.9, 0.02), "ip_subnet": (0.8, 0.1)}
+AGREE = {"actor_name": (0.88, 0.01), "actor_id": (0.95, 0.001), "device_id": (0.90, 0.005), "ip_subnet": (0.85, 0.02)}
 PRIOR = 0.05
+#: Names agree from this Jaro-Winkler similarity on.
+NAME_AGREES = 0.85
 
 
 def usable(c: Column) -> Column:
@@ -48,40 +51,30 @@ def pairs_within(members: DataFrame, block: str, cell: int = 5000) -> DataFrame:
     return pairs.unionByName(met.select("left_id", "right_id", block))
 
 
-def candidate_pairs(records: DataFrame, rules: Mapping[str, Column], record_id: str, max_block: int | None = None) -> DataFrame:
+def candidate_pairs(records: DataFrame, rules: Mapping[str, Column], record_id: str) -> DataFrame:
     """Distinct pairs (left_id < right_id) that share a block under some rule, with the first rule that brings them.
 
-    One equality join a rule, over all pairs of every block. With ``max_block``, a block of more members is linked to its
-    least id instead: its members stay connected for :func:`clusters`, but its other pairs are missing, so that is of use
-    only where the pairs themselves are not scored or counted.
+    One equality join a rule, over all pairs of every block (see :func:`pairs_within` for large ones).
     """
-    parts = []
+    every = None
     for k, (rule, c) in enumerate(rules.items()):
         keyed = records.select(F.col(record_id).alias("id"), usable(c).alias("block")).where("block is not null").distinct()
-        if max_block is None:
-            pairs = pairs_within(keyed, "block").select("left_id", "right_id")
-        else:
-            sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            small = keyed.join(sizes.where(F.col("n") <= max_block).select("block"), "block")
-            # Stars: every member to the least of the block, an aggregate and no window.
-            large = keyed.join(sizes.where(F.col("n") > max_block).select("block"), "block")
-            least = large.groupBy("block").agg(F.min("id").alias("left_id"))
-            stars = large.join(least, "block").where("left_id < id").select("left_id", F.col("id").alias("right_id"))
-            pairs = pairs_within(small, "block").select("left_id", "right_id").unionByName(stars)
-        parts.append(pairs.withColumn("rule", F.struct(F.lit(k).alias("k"), F.lit(rule).alias("name"))))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        part = pairs_within(keyed, "block").select("left_id", "right_id").withColumn("rule", F.struct(F.lit(k).alias("k"), F.lit(rule).alias("name")))
+        every = part if every is None else every.unionByName(part)
     return every.groupBy("left_id", "right_id").agg(F.min("rule")["name"].alias("match_key"))
 
 
 def match_weight(pairs: Mapping[str, tuple[Column, Column]], table: Mapping[str, tuple[float, float]] = AGREE, agree: Mapping[str, Column] | None = None) -> Column:
-    """Sum of log2 weights over fields that both sides have; other fields count nothing."""
+    """Sum of log2 weights over fields that both sides have; other fields count nothing.
+
+    Fields agree if they are equal, ``actor_name`` if it is similar; a name is missing only if it is blank.
+    """
     total = F.lit(0.0)
     for name, (a, b) in pairs.items():
         m, u = table[name]
-        same = (agree or {}).get(name, usable(a) == usable(b))
-        total = total + F.when(usable(a).isNull() | usable(b).isNull(), 0.0).when(same, F.log2(F.lit(m / u))).otherwise(F.log2(F.lit((1 - m) / (1 - u))))
+        there = (lambda c: F.nullif(F.trim(c), F.lit(""))) if name == "actor_name" else usable
+        same = (agree or {}).get(name, jaro_winkler(a, b) >= NAME_AGREES if name == "actor_name" else usable(a) == usable(b))
+        total = total + F.when(there(a).isNull() | there(b).isNull(), 0.0).when(same, F.log2(F.lit(m / u))).otherwise(F.log2(F.lit((1 - m) / (1 - u))))
     return total
 
 
@@ -126,17 +119,17 @@ def fit_agreement(vectors: DataFrame, fields: Sequence[str], rounds: int = 25, s
     return {f: (m[f], u[f]) for f in fields}, p
 
 
-def clusters(edges: DataFrame, a: str = "left_id", b: str = "right_id", rounds: int = 40) -> DataFrame:
+def clusters(edges: DataFrame, a: str = "left_id", b: str = "right_id") -> DataFrame:
     """(id, component): connected components, named by their least id.
 
     Large-star and small-star rounds: every node points to the least neighbour it knows of, which halves distances, so
-    the number of rounds grows with the logarithm of the longest path. Each round is written, so its lineage is one scan;
+    the number of rounds grows with the logarithm of the longest path; they go on until nothing changes. Each round is written, so its lineage is one scan;
     only the count of changed edges reaches the driver. Null ends and self links make no edge.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = materialize(e)
     before = None
-    for _ in range(rounds):
+    while True:
         # Large star: each node's larger neighbours are joined to its least one.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -32,7 +32,9 @@ def gaps(events: DataFrame, by: str = "actor_id", t: str = "t", tie: str = "even
 def causal_baselines(features: DataFrame, by: Sequence[str], order: Sequence[str], value: str, last: int = 10) -> DataFrame:
     """Each observation against those before it: median, MAD, robust z, quartiles, percentile rank, mean of the last ten, status.
 
-    A key's rows are its windows (days, say), a bounded number; history is COLD_START below 3 and PROVISIONAL below 10.
+    Without history the center is the value itself and z is 0; below three values before it the quartiles and the mean
+    are the center and there is no rank. The scale is 1.4826 MAD + 1e-9. A key's rows are its windows (days, say), a
+    bounded number; history is COLD_START below 3 and LOW_HISTORY below 10.
     """
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = features.withColumn("__h", F.collect_list(value).over(w)).withColumn("history_n", F.size("__h"))
@@ -43,12 +45,15 @@ def causal_baselines(features: DataFrame, by: Sequence[str], order: Sequence[str
     mid = F.when(n % 2 == 1, F.get(dev, (n / 2).cast("int"))).otherwise((F.get(dev, (n / 2).cast("int") - 1) + F.get(dev, (n / 2).cast("int"))) / 2)
     out = out.withColumn("mad", F.when(n > 0, mid))
     below = F.size(F.filter("__h", lambda x: x <= F.col(value)))
+    enough = lambda c: F.when(n >= 3, F.col(c)).otherwise(F.col("median"))
     return (
-        out.withColumn("robust_z", F.when(n > 0, (F.col(value) - F.col("median")) / F.greatest(F.col("mad") * 1.4826, F.lit(1e-9))))
+        out.withColumn("mad", F.coalesce("mad", F.lit(0.0))).withColumn("median", F.coalesce("median", F.col(value).cast("double")))
+        .withColumn("robust_z", F.when(n > 0, (F.col(value) - F.col("median")) / (F.col("mad") * 1.4826 + 1e-9)).otherwise(0.0))
+        .withColumns({c: enough(c) for c in ("q25", "q75", "rolling_mean")})
         .withColumn("percentile_rank", F.when(n >= 3, below * 100.0 / n))
-        .withColumn("status", F.when(n < 3, "COLD_START").when(n < 10, "PROVISIONAL").otherwise("ESTABLISHED"))
+        .withColumn("status", F.when(n < 3, "COLD_START").when(n < 10, "LOW_HISTORY").otherwise("STABLE_BASELINE"))
         .drop("__h")
-    )
+    )
 
 
 def ewma(features: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float = 0.3) -> DataFrame:

@@ -75,12 +75,11 @@ def ip_or_subnet_ok(c: Column) -> Column:
 
 def identifier_kind(c: Column) -> Column:
     """PHONE, IP, ACCOUNT, HANDLE or USER_ID, by the first rule that fits."""
-    t = F.upper(F.trim(c))
     return (
-        F.when(t.rlike(r"^\+?\d[\d -]{6,15}$"), "PHONE")
-        .when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "IP")
-        .when(t.rlike(r"^(ACC|AC[-_]|ACCT|IBAN)"), "ACCOUNT")
-        .when(t.rlike(r"^@|^HANDLE|^SO[-_]"), "HANDLE")
+        F.when(F.contains(c, F.lit("555")) | F.contains(c, F.lit("+")) | c.rlike(r"^\d+$"), "PHONE")
+        .when(F.contains(c, F.lit(".")) & (F.contains(c, F.lit("/")) | (F.size(F.split(c, r"\.")) == 4)), "IP")
+        .when(c.startswith("ACC"), "ACCOUNT")
+        .when(c.startswith("@"), "HANDLE")
         .otherwise("USER_ID")
     )
 
@@ -123,3 +122,11 @@ def scope_errors(checks: Sequence[tuple[Column, str]]) -> Column:
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row_number") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def jaccard(members: DataFrame, group: str, member: str) -> DataFrame:
+    """(a, b, jaccard), a < b, of groups that share a member, from an equality join on the member; ``members`` are distinct."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: members.select(F.col(group).alias(x), F.col(member).alias("m"))
+    both = side("a").join(side("b"), "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    return both.join(sizes.select(F.col(group).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(group).alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))

@@ -73,12 +73,12 @@ def prj3_clean_names(spark, d):
 
 
 @query(
-    """SELECT CASE WHEN regexp_matches(upper(trim(v)), '^\\+?[0-9][0-9 -]{6,15}$') THEN 'PHONE' WHEN regexp_matches(trim(v), '^[0-9]{1,3}(\\.[0-9]{1,3}){3}$') THEN 'IP'
-       WHEN regexp_matches(upper(trim(v)), '^(ACC|AC[-_]|ACCT|IBAN)') THEN 'ACCOUNT' WHEN regexp_matches(upper(trim(v)), '^@|^HANDLE|^SO[-_]') THEN 'HANDLE' ELSE 'USER_ID' END AS kind, count(*) AS n
-       FROM (SELECT phone_number AS v FROM raw_identity UNION ALL SELECT actor_id FROM temporal_sequence) WHERE v IS NOT NULL GROUP BY 1"""
+    """SELECT CASE WHEN v LIKE '%555%' OR v LIKE '%+%' OR regexp_full_match(v, '[0-9]+') THEN 'PHONE' WHEN v LIKE '%.%' AND (v LIKE '%/%' OR len(string_split(v, '.')) = 4) THEN 'IP' WHEN starts_with(v, 'ACC') THEN 'ACCOUNT' WHEN starts_with(v, '@') THEN 'HANDLE' ELSE 'USER_ID' END AS kind, count(*) AS n
+       FROM (SELECT phone_number AS v FROM raw_identity UNION ALL SELECT ip_subnet FROM raw_identity UNION ALL SELECT actor_id FROM temporal_sequence) WHERE v IS NOT NULL GROUP BY 1"""
 )
 def prj11_identifier_kinds(spark, d):
-    v = table(spark, d, "raw_identity").select(F.col("phone_number").alias("v")).union(table(spark, d, "temporal_sequence").select("actor_id"))
+    raw = table(spark, d, "raw_identity")
+    v = raw.select(F.col("phone_number").alias("v")).union(raw.select("ip_subnet")).union(table(spark, d, "temporal_sequence").select("actor_id"))
     return v.where("v is not null").groupBy(validate.identifier_kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,9 +214,9 @@ def jn4_candidate_pairs(spark, d):
 _SCORED = (
     _PAIRS
     + """, r AS (SELECT raw_id, min(upper(trim(actor_name))) AS n, min(upper(trim(device_id))) AS d, min(upper(trim(ip_subnet))) AS s FROM raw_identity GROUP BY 1),
-    u AS (SELECT raw_id, CASE WHEN n NOT IN ('', 'UNKNOWN', 'NONE', 'NAN') THEN n END AS n, CASE WHEN d NOT IN ('', 'UNKNOWN', 'NONE', 'NAN') THEN d END AS d, CASE WHEN s <> '0.0.0.0/0' THEN s END AS s FROM r),
-    w AS (SELECT left_id, right_id, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 WHEN a.n = b.n THEN log2(0.9 / 0.05) ELSE log2(0.1 / 0.95) END + CASE WHEN a.d IS NULL OR b.d IS NULL THEN 0 WHEN a.d = b.d THEN log2(0.9 / 0.02) ELSE log2(0.1 / 0.98) END
-        + CASE WHEN a.s IS NULL OR b.s IS NULL THEN 0 WHEN a.s = b.s THEN log2(0.8 / 0.1) ELSE log2(0.2 / 0.9) END AS weight FROM pairs JOIN u a ON a.raw_id = left_id JOIN u b ON b.raw_id = right_id),
+    u AS (SELECT raw_id, nullif(n, '') AS n, CASE WHEN d NOT IN ('', 'UNKNOWN', 'NONE', 'NAN') THEN d END AS d, CASE WHEN s <> '0.0.0.0/0' THEN s END AS s FROM r),
+    w AS (SELECT left_id, right_id, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 WHEN jaro_winkler_similarity(lower(a.n), lower(b.n)) >= 0.85 THEN log2(0.88 / 0.01) ELSE log2(0.12 / 0.99) END + CASE WHEN a.d IS NULL OR b.d IS NULL THEN 0 WHEN a.d = b.d THEN log2(0.90 / 0.005) ELSE log2(0.10 / 0.995) END
+        + CASE WHEN a.s IS NULL OR b.s IS NULL THEN 0 WHEN a.s = b.s THEN log2(0.85 / 0.02) ELSE log2(0.15 / 0.98) END AS weight FROM pairs JOIN u a ON a.raw_id = left_id JOIN u b ON b.raw_id = right_id),
     scored AS (SELECT left_id, right_id, weight, (0.05 / 0.95 * pow(2, weight)) / (1 + 0.05 / 0.95 * pow(2, weight)) AS p FROM w)"""
 )
 
@@ -237,11 +237,12 @@ def er3_pair_scores(spark, d):
 @query(
     "WITH RECURSIVE "
     + _SCORED
-    + """, e AS (SELECT left_id AS u, right_id AS v FROM scored WHERE p >= 0.6 UNION SELECT right_id, left_id FROM scored WHERE p >= 0.6),
+    + """, e AS (SELECT left_id AS u, right_id AS v FROM scored WHERE p >= 0.85 UNION SELECT right_id, left_id FROM scored WHERE p >= 0.85),
     reach AS (SELECT DISTINCT u AS id, u AS r FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.id) SELECT id, min(r) AS component FROM reach GROUP BY 1"""
 )
 def gr15_entities(spark, d):
-    return linkage.clusters(_scored(spark, d).where("p >= 0.6"))
+    # Pairs that are only possible never merge.
+    return linkage.clusters(_scored(spark, d).where("p >= 0.85"))
 
 
 @query(
@@ -403,14 +404,15 @@ def _daily(spark, d):
     "WITH {ev}, "
     + _DAILY
     + """, b AS (SELECT *, count(*) OVER w AS n, median(v) OVER w AS med, mad(v) OVER w AS mad, quantile_cont(v, 0.25) OVER w AS q25, list(v) OVER w AS h, avg(v) OVER (PARTITION BY actor_id ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS rm FROM day WINDOW w AS (PARTITION BY actor_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT actor_id, d, n AS history_n, round(med, 7) AS median, round(q25, 7) AS q25, round(mad, 7) AS mad, round(rm, 7) AS rolling_mean, CASE WHEN n > 0 THEN round((v - med) / greatest(mad * 1.4826, 1e-9), 2) + 0.0 END AS robust_z,
-    CASE WHEN n >= 3 THEN round(len(list_filter(h, lambda x: x <= v)) * 100.0 / n, 7) END AS percentile_rank, CASE WHEN n < 3 THEN 'COLD_START' WHEN n < 10 THEN 'PROVISIONAL' ELSE 'ESTABLISHED' END AS status FROM b"""
+    SELECT actor_id, d, n AS history_n, round(coalesce(med, v), 7) AS median, round(CASE WHEN n >= 3 THEN q25 ELSE coalesce(med, v) END, 7) AS q25, round(coalesce(mad, 0), 7) AS mad, round(CASE WHEN n >= 3 THEN rm ELSE coalesce(med, v) END, 7) AS rolling_mean,
+    -- With one value before it the scale is nothing but the constant, and z only a sign.
+    CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN sign(v - med) ELSE round((v - med) / (mad * 1.4826 + 1e-9), 2) + 0.0 END AS robust_z,
+    CASE WHEN n >= 3 THEN round(len(list_filter(h, lambda x: x <= v)) * 100.0 / n, 7) END AS percentile_rank, CASE WHEN n < 3 THEN 'COLD_START' WHEN n < 10 THEN 'LOW_HISTORY' ELSE 'STABLE_BASELINE' END AS status FROM b"""
 )
 def wn1_baselines(spark, d):
     b = temporal.causal_baselines(_daily(spark, d), ["actor_id"], ["d"], "v")
     rd = lambda c, k: F.round(c, k).alias(c)
-    # A scale of nothing gives figures without meaning beyond their size; they are compared to two decimals.
-    return b.select("actor_id", "d", F.col("history_n").cast("bigint").alias("history_n"), rd("median", 7), rd("q25", 7), rd("mad", 7), rd("rolling_mean", 7), (F.round("robust_z", 2) + 0.0).alias("robust_z"), rd("percentile_rank", 7), "status")
+    return b.select("actor_id", "d", F.col("history_n").cast("bigint").alias("history_n"), rd("median", 7), rd("q25", 7), rd("mad", 7), rd("rolling_mean", 7), F.when(F.col("history_n") == 1, F.signum("robust_z")).otherwise(F.round("robust_z", 2) + 0.0).alias("robust_z"), rd("percentile_rank", 7), "status")
 
 
 @query(
@@ -530,16 +532,13 @@ def tk5_candidates(spark, d):
 
 
 @query(
-    """WITH {ev}, s AS (SELECT DISTINCT event_type, target_id FROM ev), z AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1),
+    """WITH {ev}, s AS (SELECT DISTINCT event_type, target_id FROM ev WHERE target_id IS NOT NULL), z AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1),
     i AS (SELECT a.event_type AS a, b.event_type AS b, count(*) AS k FROM s a JOIN s b ON a.target_id = b.target_id AND a.event_type < b.event_type GROUP BY 1, 2)
     SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM i JOIN z x ON x.event_type = a JOIN z y ON y.event_type = b"""
 )
 def so6_jaccard(spark, d):
-    s = events(spark, d).groupBy("event_type").agg(F.collect_set("target_id").alias("xs"))
-    # Five event types.
-    o = F.broadcast(s.select(F.col("event_type").alias("b"), F.col("xs").alias("ys")))
-    j = s.withColumnRenamed("event_type", "a").join(o, F.col("a") < F.col("b"))
-    return j.select("a", "b", F.round(F.size(F.array_intersect("xs", "ys")) / F.size(F.array_union("xs", "ys")), 6).alias("jaccard"))
+    s = events(spark, d).select("event_type", "target_id").where("target_id is not null").distinct()
+    return validate.jaccard(s, "event_type", "target_id").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("WITH {ev} SELECT target_id FROM ev WHERE event_type = 'click' AND amount > 200 EXCEPT SELECT target_id FROM ev WHERE event_type = 'view' AND amount > 200")

@@ -68,41 +68,46 @@ def adaptive_baseline_stream(stream: DataFrame, key: str, order: str, value: str
         state.update(tracker.memory())
         yield pd.DataFrame({key: [k[0]] * len(said), order: rows[order].to_list(), value: rows[value].astype(float).to_list(), "z": [s[0] for s in said], "state": [s[1] for s in said], "mean": [s[2] for s in said]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kk}, `{order}` {ko}, `{value}` double, z double, state string, mean double", "n bigint, mean double, var double, drifts bigint, odd bigint", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kk}, `{order}` {ko}, `{value}` double, z double, state string, mean double", "n bigint, mean double, var double, drifts bigint, odd bigint, adapting boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 class AdaptiveTracker:
     """A mean and variance that follow slow change and keep shocks out.
 
     The first five observations set the running mean and variance (variance 1 after the first). From then on a distance
-    of more than 3 deviations is left out (EXCLUDED, from the second in a row QUARANTINED), between 1.5 and 3 it is
-    taken in (STABLE, from the second in a row ADAPTING), and below it is taken in as usual.
+    of more than 3 deviations is left out (EXCLUDED, from the second in a row QUARANTINED), between 1.5 and 3 it is a
+    drift and taken in (from the second on ADAPTING), and below it is taken in as usual, which ends an adaptation. Drifts
+    count on over usual values unless these end an adaptation; one left out ends the count. The variance is 1e-4 at least.
     """
 
-    def __init__(self, alpha: float = 0.15, n: int = 0, mean: float = 0.0, var: float = 1.0, drifts: int = 0, odd: int = 0):
-        self.alpha, self.n, self.mean, self.var, self.drifts, self.odd = alpha, n, mean, var, drifts, odd
+    def __init__(self, alpha: float = 0.15, n: int = 0, mean: float = 0.0, var: float = 1.0, drifts: int = 0, odd: int = 0, adapting: bool = False):
+        self.alpha, self.n, self.mean, self.var, self.drifts, self.odd, self.adapting = alpha, n, mean, var, drifts, odd, adapting
 
     def memory(self) -> tuple:
-        return self.n, self.mean, self.var, self.drifts, self.odd
+        return self.n, self.mean, self.var, self.drifts, self.odd, self.adapting
 
     def observe(self, x: float) -> tuple[float | None, str, float]:
         if self.n < 5:
             self.n += 1
             before = self.mean
             self.mean += (x - self.mean) / self.n
-            self.var = 1.0 if self.n == 1 else self.var + ((x - before) * (x - self.mean) - self.var) / self.n
+            self.var = 1.0 if self.n == 1 else max(self.var + ((x - before) * (x - self.mean) - self.var) / self.n, 1e-4)
             return None, "COLD_START", self.mean
-        z = abs(x - self.mean) / max(self.var, 1e-4) ** 0.5
+        z = abs(x - self.mean) / self.var**0.5
         if z > 3:
             self.odd, self.drifts = self.odd + 1, 0
             return z, "QUARANTINED" if self.odd >= 2 else "EXCLUDED", self.mean
         self.odd = 0
-        self.drifts = self.drifts + 1 if z > 1.5 else 0
+        if z > 1.5:
+            self.drifts += 1
+            self.adapting = self.adapting or self.drifts >= 2
+        elif self.adapting:
+            self.drifts, self.adapting = 0, False
         d = x - self.mean
         self.mean += self.alpha * d
-        self.var = (1 - self.alpha) * (self.var + self.alpha * d * d)
+        self.var = max((1 - self.alpha) * (self.var + self.alpha * d * d), 1e-4)
         self.n += 1
-        return z, "ADAPTING" if self.drifts >= 2 else "STABLE", self.mean
+        return z, "ADAPTING" if self.adapting else "STABLE", self.mean
 
 
 def adaptive_baseline(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.15) -> DataFrame:
