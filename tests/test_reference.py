@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest data, and pieces that SQL cannot express against plain Python."""
 
+import hashlib
 import math
 import os
 import random
@@ -38,6 +39,21 @@ def test_jaro_winkler():
     assert S.jaro_winkler_value("", "x") == 0 and S.jaro_winkler_value(None, None) == 0 and S.jaro_winkler_value("abcd", "axyz") == pytest.approx(0.5 + 0.1 * 0.5)
 
 
+def test_jaro_winkler_of_batches():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randrange(12)))
+    a, b = [word() for _ in range(3000)] + [None, "x" * 100, "ab"], [word() for _ in range(3000)] + ["q", "x" * 99 + "y", "ab"]
+    assert S.jaro_winkler_batch(a, b) == pytest.approx([S.jaro_winkler_value(p, q) for p, q in zip(a, b, strict=True)])
+    assert len(S.jaro_winkler_batch([], [])) == 0
+
+
+def test_token_distance_of_many_tokens(spark):
+    """Any number of distinct tokens, nulls among them."""
+    a, b = [f"t{i}" for i in range(2500)], [f"t{i}" for i in range(2200)]
+    df = spark.createDataFrame([(a, b), (["x", None], ["x"]), ([], ["x", "y"]), (["k", "m"], ["m", "k"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(S.token_levenshtein(F.col("a"), F.col("b"))).collect()] == [300, 1, 2, 2]
+
+
 def test_json_and_text_scalars(spark):
     df = spark.createDataFrame([('{"a": 1}', "90s"), ("nope", "7d"), (None, "x"), ("", None)], "j string, l string")
     got = df.select(S.json_or_raw(F.col("j")), S.duration_seconds(F.col("l")), S.json_number(F.col("j"), "$.b", "$.a")).collect()
@@ -82,8 +98,8 @@ def test_clusters_against_union_find(spark):
 
 def test_large_block_stays_connected(spark):
     df = spark.createDataFrame([(i, "k") for i in range(30)], "id int, k string")
-    pairs = linkage.candidate_pairs(df, {"k": F.col("k")}, "id", max_block=10)
-    assert pairs.count() == 29 and linkage.clusters(pairs).select("component").distinct().count() == 1
+    pairs = linkage.candidate_pairs(df, {"k": F.col("k")}, "id")
+    assert pairs.count() == 435 and linkage.clusters(pairs).select("component").distinct().count() == 1
 
 
 def test_no_pair_of_a_large_block_is_lost(spark):
@@ -94,13 +110,13 @@ def test_no_pair_of_a_large_block_is_lost(spark):
 
 
 def test_hot_subnet_keeps_clusters(spark, tmp_path):
-    """Two people with one device each behind a subnet of more than 5,000 records, none of them its least id."""
-    row = lambda i: (f"r{i:05d}", f"name {i}" if i < 5100 else f"twin {i // 2}", f"dev{i}" if i < 5100 else f"twin{i // 2}", "10.0.0.0/24", "x")
-    spark.createDataFrame([row(i) for i in range(5104)], "raw_id string, actor_name string, device_id string, ip_subnet string, home_city string").write.parquet(f"{tmp_path}/raw_identity.parquet")
+    """Two people with one device each behind a subnet of all records, none of them its least id."""
+    row = lambda i: (f"r{i:05d}", f"{hashlib.md5(str(i).encode()).hexdigest()}" if i < 700 else ("anna okoro", "bertil lund")[i // 2 % 2], f"dev{i}" if i < 700 else f"twin{i // 2}", "10.0.0.0/24", "x")
+    spark.createDataFrame([row(i) for i in range(704)], "raw_id string, actor_name string, device_id string, ip_subnet string, home_city string").write.parquet(f"{tmp_path}/raw_identity.parquet")
     from tracewright.queries import reference
 
     scored = reference._scored(spark, str(tmp_path))
-    assert {tuple(r) for r in scored.where("p >= 0.6").select("left_id", "right_id").collect()} == {("r05100", "r05101"), ("r05102", "r05103")}
+    assert {tuple(r) for r in scored.where("p >= 0.6").select("left_id", "right_id").collect()} == {("r00700", "r00701"), ("r00702", "r00703")}
 
 
 def test_agreement_em(spark):
@@ -203,6 +219,8 @@ def test_quality_levels(spark):
 def test_adaptive_tracker():
     t = runtime.AdaptiveTracker()
     said = [t.observe(x)[1] for x in [10, 11, 9, 10, 10, 10.2, 50, 60, 10.1]]
+    drift = runtime.AdaptiveTracker(n=5, mean=10.0, var=1.0)
+    assert [drift.observe(x)[1] for x in (12.0, 10.3, 12.4, 10.8, 12.6, 9.0)] == ["STABLE", "STABLE", "ADAPTING", "STABLE", "STABLE", "ADAPTING"]
     assert said[:5] == ["COLD_START"] * 5 and said[6:8] == ["EXCLUDED", "QUARANTINED"] and said[5] == said[8] == "STABLE" and t.mean < 11
 
 

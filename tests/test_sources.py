@@ -28,10 +28,23 @@ def test_adapters(spark, tmp_path):
     (tmp_path / "f.csv").write_text("id,dur,proto,sbytes,dbytes\n2,0.5,tcp,10,20\n3,-1,tcp,1,1\n")
     good, bad = files.NetworkFlows().load(spark, str(tmp_path / "f.csv"))
     r = good.first()
-    assert r["epoch"] == 1421980003.0 and r["amount"] == 30 and bad.count() == 1
+    assert r["epoch"] == 1421980003.0 and (r["actor_id"], r["target_id"], r["temporal_semantics"]) == ("FLOW_2", None, "SEQUENCE_ORDER_SURROGATE") and bad.count() == 1
+    (tmp_path / "g.csv").write_text("id,dur,proto,sbytes,dbytes,srcip,dstip,stime,label,attack_cat\n7,0.5,tcp,10,20,10.0.0.1, ,1700000000,1,Worms\n")
+    r = files.NetworkFlows().load(spark, str(tmp_path / "g.csv"))[0].first()
+    assert (r["event_id"], r["actor_id"], r["target_id"], r["epoch"], r["temporal_semantics"]) == ("EVT_UNSW_7", "IP_10.0.0.1", None, 1700000000.0, "OBSERVED_TIMESTAMP")
+    assert tuple(files.NetworkFlows().truths(spark, str(tmp_path / "g.csv")).first()) == ("EVT_UNSW_7", "Worms", 1)
+    labels = spark.createDataFrame([(1, "illicit")], "txId int, class string")
+    assert tuple(files.CoinTransfers().truths(spark, str(tmp_path / "c.csv"), labels).first()) == ("EVT_EL_1", "illicit", 1)
+    assert files.CoinTransfers().count(spark, str(tmp_path / "c.csv")) == 5 and ("amount_btc", "double") in files.CoinTransfers().inspect(spark, str(tmp_path / "c.csv"))
+    for bad_call in ({"path": str(tmp_path / "none.csv")}, {"path": str(tmp_path / "c.csv"), "sha256": "0" * 64}):
+        with pytest.raises(ValueError):
+            files.ingest(spark, "coin_transfers", out=str(tmp_path / "o2"), **bad_call)
+    assert [n for n, _ in files.catalogue()] == ["coin_transfers", "interactions", "network_flows"]
     (tmp_path / "i.csv").write_text("src_user_id,dst_user_id,timestamp\nu,v,1700000000\nu,v,0\n")
     good, bad = files.Interactions().load(spark, str(tmp_path / "i.csv"))
-    assert good.count() == 1 and bad.count() == 1
+    assert good.first()["event_id"] == "EVT_SO_SO_C2Q_000000" and good.first()["actor_id"] == "SO_u" and good.count() == 1 and bad.count() == 1
+    names = files.register_graph(good, good)
+    assert spark.sql(f"SELECT count(*) AS n FROM {names[0]} JOIN {names[1]} USING (event_id)").first()["n"] == 1
 
 
 def test_json_sources(spark, tmp_path):

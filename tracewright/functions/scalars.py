@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +45,48 @@ def jaro_winkler_value(a: str | None, b: str | None) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Texts of more characters are compared one by one.
+_LONG = 64
+
+
+def jaro_winkler_batch(xs: Sequence[str | None], ys: Sequence[str | None]) -> np.ndarray:
+    """:func:`jaro_winkler_value` of many pairs at once: every step is taken for all pairs of a batch."""
+    a, b = ([(t or "").strip().lower() for t in ts] for ts in (xs, ys))
+    out = np.zeros(len(a))
+    long = [k for k in range(len(a)) if max(len(a[k]), len(b[k])) > _LONG]
+    for k in long:
+        out[k] = jaro_winkler_value(a[k], b[k])
+    rows = np.array([k for k in range(len(a)) if a[k] and b[k] and max(len(a[k]), len(b[k])) <= _LONG], dtype=int)
+    if not len(rows):
+        return out
+    la, lb = (np.array([len(t[k]) for k in rows]) for t in (a, b))
+    wide = int(max(la.max(), lb.max()))
+    x, y = (np.array([t[k] for k in rows], dtype=f"U{wide}").view(np.uint32).reshape(len(rows), wide) for t in (a, b))
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    far = int(reach.max())
+    hit, used = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    for i in range(int(la.max())):
+        for j in range(max(0, i - far), min(int(lb.max()), i + far + 1)):
+            same = (x[:, i] == y[:, j]) & (i < la) & (j < lb) & (abs(i - j) <= reach) & ~used[:, j] & ~hit[:, i]
+            used[:, j] |= same
+            hit[:, i] |= same
+    m = hit.sum(1)
+    first = lambda t, h: np.take_along_axis(t, np.argsort(~h, axis=1, kind="stable"), 1)
+    swapped = ((first(x, hit) != first(y, used)) & (np.arange(wide) < m[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - swapped) / m) / 3, 0.0)
+    head = min(4, wide)
+    prefix = np.cumprod((x[:, :head] == y[:, :head]) & (np.arange(head) < np.minimum(la, lb)[:, None]), axis=1).sum(1)
+    out[rows] = np.where(m > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0)
+    return out
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """:func:`jaro_winkler_value` of two columns, in Arrow batches."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler_value(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series(jaro_winkler_batch(x.tolist(), y.tolist()), dtype="float64")
 
     return run(a, b)
 

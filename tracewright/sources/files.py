@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,31 +75,58 @@ class Adapter:
     def checks(self) -> Sequence[tuple[Column, str]]:
         return ()
 
-    def event(self) -> Mapping[str, Column]:
-        """Expressions for event_id, epoch, actor_id, target_id, event_type, amount, duration."""
+    def event(self, columns: Sequence[str]) -> Mapping[str, Column]:
+        """Expressions for the canonical columns over a table that has ``columns``."""
         raise NotImplementedError
 
-    def load(self, spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(events, rejects). A missing column raises; ``limit`` takes the first rows in file order."""
+    def truth(self, columns: Sequence[str]) -> Mapping[str, Column]:
+        """Expressions for what is known of the true nature of a row; kept apart from the events."""
+        return {}
+
+    def inspect(self, spark: SparkSession, path: str) -> list[tuple[str, str]]:
+        """Columns and types of the file."""
+        return [(f.name, f.dataType.simpleString()) for f in spark.read.option("header", True).option("inferSchema", True).csv(path).schema]
+
+    def count(self, spark: SparkSession, path: str) -> int:
+        """Rows without the header."""
+        return spark.read.option("header", True).csv(path).count()
+
+    def rows(self, spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+        """All rows with their place in the file and ``reason``; ``limit`` takes the first in file order. A missing column raises."""
         raw = read_logs(spark, path)
         gone = [c for c in self.required if c not in raw.columns]
         if gone:
             raise ValueError(f"{self.name}: missing columns {gone}")
+        raw = with_row_index(raw)
         if limit is not None:
-            raw = with_row_index(raw).where(F.col("source_row_index") < limit)
-        judged = raw.withColumn("reason", reason_code(self.checks()) if self.checks() else F.lit(ACCEPTED))
-        e = self.event()
+            raw = raw.where(F.col("source_row_index") < limit)
+        return raw.withColumn("reason", reason_code(self.checks()) if self.checks() else F.lit(ACCEPTED))
+
+    def load(self, spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(events, rejects)."""
+        judged = self.rows(spark, path, limit)
+        e = self.event(judged.columns)
         good = judged.where(F.col("reason") == ACCEPTED).select(*[c.alias(n) for n, c in e.items()], F.lit(self.name).alias("dataset"))
-        good = good.withColumn("sha256_hash", S.pipe_hash(F.col("event_id"), F.col("epoch"), F.col("actor_id"), F.col("target_id"), F.col("event_type")))
+        good = good.withColumn("sha256_hash", S.pipe_hash(F.col("event_id"), F.col("epoch"), F.col("actor_id"), F.col("target_id"), F.col("event_type"), F.col("amount"), F.col("duration")))
         return good, judged.where(F.col("reason") != ACCEPTED)
 
+    def truths(self, spark: SparkSession, path: str, labels: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+        """(event_id, ...) what is known of each accepted row, from the row itself or from ``labels`` joined to it."""
+        judged = self.rows(spark, path, limit).where(F.col("reason") == ACCEPTED)
+        return judged.select(self.event(judged.columns)["event_id"].alias("event_id"), *[c.alias(n) for n, c in self.truth(judged.columns).items()])
+
 
 def _num(c: str) -> Column:
     return F.col(c).try_cast("double")
 
 
+def _text(c: str, columns: Sequence[str]) -> Column:
+    """A column as text, null where it is blank or not there."""
+    return F.nullif(F.trim(F.col(c)), F.lit("")) if c in columns else F.lit(None).cast("string")
+
+
 class CoinTransfers(Adapter):
-    """Wallet-to-wallet transfers."""
+    """Wallet-to-wallet transfers. The amount is in dollars where there is one, else in coins."""
 
     name, required = "coin_transfers", ("txId", "timestamp", "input_wallet", "output_wallet", "amount_btc")
 
@@ -106,12 +134,22 @@ class CoinTransfers(Adapter):
         blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
         return [(blank("txId"), "MISSING_TX_ID"), (blank("input_wallet") | blank("output_wallet"), "MISSING_WALLET"), (S.epoch_or_zero(F.col("timestamp")) <= 0, "INVALID_TIMESTAMP"), (_num("amount_btc").isNull() | (_num("amount_btc") < 0), "INVALID_AMOUNT")]
 
-    def event(self):
-        return {"event_id": F.concat(F.lit("TX_"), F.col("txId")), "epoch": S.epoch_or_zero(F.col("timestamp")), "actor_id": F.col("input_wallet"), "target_id": F.col("output_wallet"), "event_type": F.lit("TRANSFER"), "amount": _num("amount_btc"), "duration": F.lit(None).cast("double")}
+    def event(self, columns):
+        return {
+            "event_id": F.concat(F.lit("EVT_EL_"), F.substring(F.trim("txId"), 1, 16)), "epoch": S.epoch_or_zero(F.col("timestamp")), "actor_id": F.concat(F.lit("WALLET_"), F.trim("input_wallet")), "target_id": F.concat(F.lit("WALLET_"), F.trim("output_wallet")),
+            "event_type": F.lit("TRANSACTION"), "source_domain": F.lit("BANK"), "amount": F.coalesce(_text("amount_usd", columns).try_cast("double"), _num("amount_btc")), "duration": F.lit(0.0), "temporal_semantics": F.lit("OBSERVED_TIMESTAMP"),
+        }
+
+    def truths(self, spark, path, labels=None, limit=None):
+        """``labels`` are (txId, class); class 1 or illicit is a case, and a transfer without a class is unknown and none."""
+        judged = self.rows(spark, path, limit).where(F.col("reason") == ACCEPTED).select(F.trim("txId").alias("txId"), self.event(())["event_id"].alias("event_id"))
+        said = (labels.select(F.trim(F.col("txId").cast("string")).alias("txId"), F.col("class").cast("string").alias("class_label")) if labels is not None else spark.createDataFrame([], "txId string, class_label string")).dropDuplicates(["txId"])
+        known = judged.join(said, "txId", "left")
+        return known.select("event_id", F.coalesce("class_label", F.lit("unknown")).alias("class_label"), F.coalesce(F.col("class_label").isin("1", "illicit").cast("int"), F.lit(0)).alias("is_case"))
 
 
 class NetworkFlows(Adapter):
-    """Network flows without clock; their order stands in for time (1.5 s apart) and is named so by the caller."""
+    """Network flows. Addresses are taken where there are any and never made up; the clock too, else the order stands in for time (1.5 s apart)."""
 
     name, required = "network_flows", ("id", "dur", "proto", "sbytes", "dbytes")
     start, step = 1421980000.0, 1.5
@@ -119,8 +157,18 @@ class NetworkFlows(Adapter):
     def checks(self):
         return [(_num("id").isNull(), "MISSING_ID"), (_num("dur").isNull() | (_num("dur") < 0), "INVALID_DURATION"), (_num("sbytes").isNull() | (_num("sbytes") < 0) | _num("dbytes").isNull() | (_num("dbytes") < 0), "INVALID_BYTES")]
 
-    def event(self):
-        return {"event_id": F.concat(F.lit("FLOW_"), F.col("id")), "epoch": F.lit(self.start) + _num("id") * self.step, "actor_id": F.concat(F.lit("FLOW_"), F.col("id")), "target_id": F.lit(None).cast("string"), "event_type": F.lit("IP_SESSION"), "amount": _num("sbytes") + _num("dbytes"), "duration": _num("dur")}
+    def event(self, columns):
+        rec = F.trim("id")
+        stamp = _text("timestamp", columns)
+        seen = F.coalesce(F.when(stamp.isNotNull(), S.epoch_or_zero(stamp)), _text("stime", columns).try_cast("double"), _text("epoch_time", columns).try_cast("double"))
+        address = lambda c: F.concat(F.lit("IP_"), _text(c, columns))
+        return {
+            "event_id": F.concat(F.lit("EVT_UNSW_"), rec), "epoch": F.coalesce(seen, F.lit(self.start) + _num("id") * self.step), "actor_id": F.coalesce(address("srcip"), F.concat(F.lit("FLOW_"), rec)), "target_id": address("dstip"),
+            "event_type": F.lit("IP_SESSION"), "source_domain": F.lit("IPDR"), "amount": F.lit(0.0), "duration": _num("dur"), "temporal_semantics": F.when(seen.isNotNull(), "OBSERVED_TIMESTAMP").otherwise("SEQUENCE_ORDER_SURROGATE"),
+        }
+
+    def truth(self, columns):
+        return {"class_label": F.coalesce(_text("attack_cat", columns), F.lit("Normal")), "is_case": F.coalesce(_text("label", columns).try_cast("double").cast("int"), F.lit(0))}
 
 
 class Interactions(Adapter):
@@ -135,17 +183,38 @@ class Interactions(Adapter):
         blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
         return [(blank("src_user_id") | blank("dst_user_id"), "MISSING_USER"), (self._epoch() <= 0, "INVALID_TIMESTAMP")]
 
-    def event(self):
-        return {"event_id": S.short_id("EVT_", F.concat_ws("|", "src_user_id", "dst_user_id", "timestamp")), "epoch": self._epoch(), "actor_id": F.col("src_user_id"), "target_id": F.col("dst_user_id"), "event_type": F.lit("INTERACTION"), "amount": F.lit(None).cast("double"), "duration": F.lit(None).cast("double")}
+    def event(self, columns):
+        rec = F.coalesce(_text("interaction_id", columns), F.format_string("SO_C2Q_%06d", F.col("source_row_index")))
+        return {
+            "event_id": F.concat(F.lit("EVT_SO_"), rec), "epoch": self._epoch(), "actor_id": F.concat(F.lit("SO_"), F.trim("src_user_id")), "target_id": F.concat(F.lit("SO_"), F.trim("dst_user_id")),
+            "event_type": F.lit("SOCIAL"), "source_domain": F.lit("SOCIAL"), "amount": F.lit(0.0), "duration": F.lit(0.0), "temporal_semantics": F.lit("OBSERVED_TIMESTAMP"),
+        }
+
+    def truth(self, columns):
+        return {"is_case": F.coalesce(_text("is_sockpuppet_ring", columns).try_cast("double").cast("int"), F.lit(0))}
 
 
 REGISTRY = {a.name: a for a in (CoinTransfers, NetworkFlows, Interactions)}
 
 
-def ingest(spark: SparkSession, name: str, path: str, out: str, tier: str = "RAW", limit: int | None = None) -> dict:
-    """Load a registered format, write its events and rejects, and return the manifest. Unknown names raise KeyError."""
-    good, bad = REGISTRY[name]().load(spark, path, limit)
-    write_contract(good.withColumn("provenance_tier", F.lit(tier)), f"{out}/events", ["event_id", "epoch", "actor_id", "target_id", "event_type", "amount", "duration", "dataset", "sha256_hash", "provenance_tier"])
+def ingest(spark: SparkSession, name: str, path: str, out: str, tier: str = "RAW", limit: int | None = None, sha256: str | None = None, labels: DataFrame | None = None) -> dict:
+    """Load a registered format, write its events, truths and rejects, and return the manifest.
+
+    Unknown names raise KeyError; a missing or empty file, missing columns and a file whose SHA-256 is not the one
+    expected raise ValueError, before anything is written.
+    """
+    adapter = REGISTRY[name]()
+    try:
+        found = file_hashes(spark, path).collect()  # one row a file
+    except AnalysisException as e:
+        raise ValueError(f"{name}: no file at {path}") from e
+    if not found or any(not r["length"] for r in found):
+        raise ValueError(f"{name}: no data at {path}")
+    if sha256 and {r["sha256"] for r in found} != {sha256}:
+        raise ValueError(f"{name}: the file is not the one expected")
+    good, bad = adapter.load(spark, path, limit)
+    adapter.truths(spark, path, labels, limit).write.mode("overwrite").parquet(f"{out}/truths")
+    write_contract(good.withColumn("provenance_tier", F.lit(tier)), f"{out}/events", ["event_id", "epoch", "actor_id", "target_id", "event_type", "source_domain", "amount", "duration", "temporal_semantics", "dataset", "sha256_hash", "provenance_tier"])
     bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/rejects")
     reasons = {r["reason"]: r["n"] for r in spark.read.parquet(f"{out}/rejects").collect()}
     accepted = spark.read.parquet(f"{out}/events").count()
@@ -167,6 +236,19 @@ def manifest(facts: Mapping) -> dict:
     return {**facts, "sha256": hashlib.sha256(text.encode()).hexdigest()}
 
 
+def catalogue() -> list[tuple[str, tuple[str, ...]]]:
+    """Registered formats with the columns they need."""
+    return [(n, a.required) for n, a in sorted(REGISTRY.items())]
+
+
+def register_graph(events: DataFrame, entities: DataFrame, prefix: str = "graph") -> tuple[str, str]:
+    """Name two tables for SQL; the names of the views."""
+    names = f"{prefix}_events", f"{prefix}_entities"
+    events.createOrReplaceTempView(names[0])
+    entities.createOrReplaceTempView(names[1])
+    return names
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of whole files, hashed where they lie."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
