@@ -24,14 +24,6 @@ def robust_scores(wide: DataFrame, key: str, names: Sequence[str], top: int = 3)
     return row.select(key, mean.alias("mean_top_z"), F.when(F.col("n") <= 1, 0.5).otherwise(S.score_from_z(mean)).alias("score"))
 
 
-def rule_score(rules: Sequence[Column], weight: float = 0.2) -> Column:
-    """``weight`` for every rule that holds, 1 at most."""
-    total = F.lit(0.0)
-    for r in rules:
-        total = total + F.when(F.coalesce(r, F.lit(False)), weight).otherwise(0.0)
-    return F.least(total, F.lit(1.0))
-
-
 def combine(scores: Sequence[Column]) -> Column:
     """struct<score, disagreement, n>: the mean of the detectors present and their deviation over 0.5."""
     there = F.array_compact(F.array(*scores))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import mapped
 from tracewright.operators.linkage import pairs_within
 from tracewright.session import materialize
 
@@ -155,3 +158,8 @@ def roots(links: DataFrame, child: str, parent: str) -> DataFrame:
         if at.where("not done").isEmpty():
             break
     return at.where("done").select("node", "root", "depth")
+
+
+def relation(label: Column, table: Mapping[str, str]) -> Column:
+    """The relation an event type stands for; ASSOCIATED_WITH by default."""
+    return mapped(F.upper(label), table, "ASSOCIATED_WITH")

@@ -180,3 +180,14 @@ def pivot_deviation(events: DataFrame, by: str = "actor_id", t: str = "t", amoun
     w = strictly_before(by, t)
     z = (F.col(amount) - F.avg(amount).over(w)) / F.greatest(F.stddev_pop(amount).over(w), F.lit(1.0))
     return events.withColumn("z", z).withColumn("deviation", S.clip(F.coalesce(F.abs("z") / 5, F.lit(0.0)), 0, 1))
+
+
+def first_dataset(rows: DataFrame, by: str, dataset: str, order: Sequence[str]) -> DataFrame:
+    """(by, dataset): the first dataset in ``order`` that holds the entity; others come after, by name."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(dataset))
+    return rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.min_by(dataset, F.struct(F.when(place > 0, place).otherwise(len(order) + 1), dataset)).alias(dataset))
+
+
+def timeline(stored: DataFrame, live: DataFrame, start: int, end: int, t: str = "t") -> DataFrame:
+    """Stored and live rows within [start, end], with ``origin``; sort with nulls last for showing."""
+    return between(stored.withColumn("origin", F.lit("CASE")).unionByName(live.withColumn("origin", F.lit("LIVE")), allowMissingColumns=True), start, end, t)

@@ -130,3 +130,37 @@ def jaccard(members: DataFrame, group: str, member: str) -> DataFrame:
     side = lambda x: members.select(F.col(group).alias(x), F.col(member).alias("m"))
     both = side("a").join(side("b"), "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
     return both.join(sizes.select(F.col(group).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(group).alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+
+
+def require_all(left: DataFrame, right: DataFrame, key: str) -> int:
+    """0 if every key of ``left`` is in ``right``; else ValueError."""
+    gone = left.join(right.select(key).distinct(), key, "left_anti").count()
+    if gone:
+        raise ValueError(f"{gone} keys without a counterpart")
+    return gone
+
+
+def first_rows(df: DataFrame, order: Sequence[str], limit: int, most: int = 1000) -> DataFrame:
+    """A bounded page of a table in order; ``limit`` is between 1 and ``most``."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be within 1 and {most}")
+    return df.orderBy(*order).limit(limit)
+
+
+def search_kind(c: Column) -> Column:
+    """What a search term is meant for, by its form: IP, DEVICE, PHONE, ENTITY or NAME."""
+    return F.when(c.rlike(r"^\d{1,3}(\.\d{1,3}){3}(/\d{1,2})?$"), "IP").when(F.upper(c).startswith("DEV"), "DEVICE").when(c.rlike(r"^\+?\d[\d ().-]{6,}$"), "PHONE").when(F.upper(c).startswith("ENT"), "ENTITY").otherwise("NAME")
+
+
+def registry_hit(exact: Column, status: Column, confidence: Column) -> Column:
+    """struct<status, confidence> of a search hit: what is CONFIRMED counts as POSSIBLE unless the hit is exact, at most at .70, or .65 if it was confirmed."""
+    down = ~F.coalesce(exact, F.lit(False))
+    return F.struct(F.when(down & (status == "CONFIRMED"), "POSSIBLE").otherwise(status).alias("status"), F.when(down & (status == "CONFIRMED"), 0.65).when(down, F.least(confidence, F.lit(0.70))).otherwise(confidence).alias("confidence"))
+
+
+def filtered(df: DataFrame, **equal) -> DataFrame:
+    """Rows equal to all given values; those that are None do not count."""
+    for c, v in equal.items():
+        if v is not None:
+            df = df.where(F.col(c) == v)
+    return df

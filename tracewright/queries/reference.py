@@ -666,13 +666,6 @@ def an7_robust_scores(spark, d):
     return s.select("actor_id", r7("mean_top_z", "mean_top_z"), r7("score", "score"))
 
 
-@query("WITH {ev}, " + _WIDE + " SELECT actor_id, round(0.2 * ((n > 70)::INT + (total > 3000)::INT + (contacts > 50)::INT + (largest > 200)::INT), 7) AS score FROM f")
-def an3_rule_scores(spark, d):
-    c = F.col
-    s = anomaly.rule_score([c("n") > 70, c("total") > 3000, c("contacts") > 50, c("largest") > 200])
-    return _wide(spark, d).select("actor_id", r7(s, "score"))
-
-
 @query()
 def an8_isolation_forest(spark, d):
     return anomaly.isolation_scores(_wide(spark, d), "actor_id", _NAMES)
