@@ -33,7 +33,7 @@ _MINE = ("phone_number", "actor_name", "device_id", "ip_subnet")
 
 @query(
     f"""WITH r AS (SELECT raw_id AS k, min(phone_number) AS a, min(actor_name) AS n, min(device_id) AS d, min(ip_subnet) AS s FROM raw_identity GROUP BY 1),
-    x AS (SELECT k, a, nullif(trim(n), '') AS n, {_U('a')} AS ua, {_U('d')} AS ud, {_U('s')} AS us FROM r), g AS (SELECT canonical_entity_id AS e, nullif(trim(display_name), '') AS n, {_U('phone_number')} AS ua, {_U('device_id')} AS ud, {_U('ip_subnet')} AS us FROM entity_profile),
+    x AS (SELECT k, a, nullif(trim(regexp_replace(n, '[^ -~]', '', 'g')), '') AS n, {_U('a')} AS ua, {_U('d')} AS ud, {_U('s')} AS us FROM r), g AS (SELECT canonical_entity_id AS e, nullif(trim(regexp_replace(display_name, '[^ -~]', '', 'g')), '') AS n, {_U('phone_number')} AS ua, {_U('device_id')} AS ud, {_U('ip_subnet')} AS us FROM entity_profile),
     c AS (SELECT k, e, min(rank) AS rank FROM (SELECT k, e, 0 AS rank FROM x JOIN g ON x.ua = g.ua UNION ALL SELECT k, e, 1 FROM x JOIN g ON x.ud = g.ud UNION ALL SELECT k, e, 2 FROM x JOIN g ON x.us = g.us) GROUP BY 1, 2),
     w AS (SELECT k, e, rank, CASE WHEN x.ua IS NULL OR g.ua IS NULL THEN 0 WHEN x.ua = g.ua THEN log2(0.95 / 0.001) ELSE log2(0.05 / 0.999) END + CASE WHEN x.n IS NULL OR g.n IS NULL THEN 0 WHEN jaro_winkler_similarity(lower(x.n), lower(g.n)) >= 0.85 THEN log2(0.88 / 0.01) ELSE log2(0.12 / 0.99) END
         + CASE WHEN x.ud IS NULL OR g.ud IS NULL THEN 0 WHEN x.ud = g.ud THEN log2(0.90 / 0.005) ELSE log2(0.10 / 0.995) END + CASE WHEN x.us IS NULL OR g.us IS NULL THEN 0 WHEN x.us = g.us THEN log2(0.85 / 0.02) ELSE log2(0.15 / 0.98) END AS weight FROM c JOIN x USING (k) JOIN g USING (e)),
@@ -44,7 +44,9 @@ _MINE = ("phone_number", "actor_name", "device_id", "ip_subnet")
 def er4_resolved_records(spark, d):
     raw = table(spark, d, "raw_identity").groupBy("raw_id").agg(*[F.min(c).alias(c) for c in _MINE]).withColumnRenamed("phone_number", "actor_id")
     registry = table(spark, d, "entity_profile").select(F.col("canonical_entity_id").alias("entity_id"), F.lit(1.0).alias("match_confidence"), F.col("phone_number").alias("actor_id"), F.col("display_name").alias("actor_name"), "device_id", "ip_subnet")
-    out = resolution.resolve_records(raw, registry, "raw_id")
+    # Letters with marks are left out, as the SQL compares bytes.
+    plain = lambda t: t.withColumn("actor_name", F.regexp_replace("actor_name", "[^ -~]", ""))
+    out = resolution.resolve_records(plain(raw), plain(registry), "raw_id")
     return out.select("raw_id", F.when((F.col("candidates") > 0) & (F.col("status") != "REJECTED"), F.col("entity")).otherwise("new").alias("entity"), "candidates", "rule", F.round("p", 4).alias("p"), "status")
 
 

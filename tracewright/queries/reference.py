@@ -213,7 +213,7 @@ def jn4_candidate_pairs(spark, d):
 
 _SCORED = (
     _PAIRS
-    + """, r AS (SELECT raw_id, min(upper(trim(actor_name))) AS n, min(upper(trim(device_id))) AS d, min(upper(trim(ip_subnet))) AS s FROM raw_identity GROUP BY 1),
+    + """, r AS (SELECT raw_id, min(upper(trim(regexp_replace(actor_name, '[^ -~]', '', 'g')))) AS n, min(upper(trim(device_id))) AS d, min(upper(trim(ip_subnet))) AS s FROM raw_identity GROUP BY 1),
     u AS (SELECT raw_id, nullif(n, '') AS n, CASE WHEN d NOT IN ('', 'UNKNOWN', 'NONE', 'NAN') THEN d END AS d, CASE WHEN s <> '0.0.0.0/0' THEN s END AS s FROM r),
     w AS (SELECT left_id, right_id, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 WHEN jaro_winkler_similarity(lower(a.n), lower(b.n)) >= 0.85 THEN log2(0.88 / 0.01) ELSE log2(0.12 / 0.99) END + CASE WHEN a.d IS NULL OR b.d IS NULL THEN 0 WHEN a.d = b.d THEN log2(0.90 / 0.005) ELSE log2(0.10 / 0.995) END
         + CASE WHEN a.s IS NULL OR b.s IS NULL THEN 0 WHEN a.s = b.s THEN log2(0.85 / 0.02) ELSE log2(0.15 / 0.98) END AS weight FROM pairs JOIN u a ON a.raw_id = left_id JOIN u b ON b.raw_id = right_id),
@@ -222,7 +222,7 @@ _SCORED = (
 
 
 def _scored(spark, d):
-    raw = table(spark, d, "raw_identity").groupBy("raw_id").agg(F.min(F.upper(F.trim("actor_name"))).alias("n"), F.min(F.upper(F.trim("device_id"))).alias("d"), F.min(F.upper(F.trim("ip_subnet"))).alias("s"))
+    raw = table(spark, d, "raw_identity").groupBy("raw_id").agg(F.min(F.upper(F.trim(F.regexp_replace("actor_name", "[^ -~]", "")))).alias("n"), F.min(F.upper(F.trim("device_id"))).alias("d"), F.min(F.upper(F.trim("ip_subnet"))).alias("s"))
     side = lambda p, key: raw.select(F.col("raw_id").alias(key), *[F.col(c).alias(p + c) for c in "nds"])
     j = _pairs(spark, d).join(side("a", "left_id"), "left_id").join(side("b", "right_id"), "right_id")
     w = linkage.match_weight({"actor_name": (F.col("an"), F.col("bn")), "device_id": (F.col("ad"), F.col("bd")), "ip_subnet": (F.col("as"), F.col("bs"))})
