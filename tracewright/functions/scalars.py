@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- text ----
@@ -259,3 +260,32 @@ def slices(xs: Column, low: int, high: int) -> Column:
 
 def has_repeats(xs: Column) -> Column:
     return F.size(F.array_distinct(xs)) != F.size(xs)
+
+
+# ---- similarity of texts, digests, routing ----
+
+
+def ngram_cosine(df: DataFrame, a: str, b: str, out: str, low: int = 2, high: int = 4) -> DataFrame:
+    """``df`` with ``out``, the cosine of the character n-grams of two texts, weighted by smoothed inverse frequency over the pair (1 for shared ones, 1 + ln 1.5 for others); rounded to four places. Blank gives 0, equal texts 1."""
+    x, y = F.coalesce(F.trim(a), F.lit("")), F.coalesce(F.trim(b), F.lit(""))
+    # A column for each step, so none is worked out again within the next.
+    step = df.withColumns({"__p": F.array_sort(char_ngrams(x, low, high)), "__q": F.array_sort(char_ngrams(y, low, high))})
+    count = lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda g: F.struct(g, F.size(F.filter(c, lambda v: v == g)).cast("double"))))
+    step = step.withColumns({"__pm": count("__p"), "__qm": count("__q")})
+    alone = (1 + math.log(1.5)) ** 2
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v)
+    norm = lambda m, o: total(F.transform(F.map_entries(m), lambda e: e["value"] * e["value"] * F.when(F.map_contains_key(o, e["key"]), 1.0).otherwise(alone)))
+    dot = total(F.transform(F.map_entries("__pm"), lambda e: e["value"] * F.coalesce(F.try_element_at("__qm", e["key"]), F.lit(0.0))))
+    step = step.withColumns({"__d": dot, "__np": norm("__pm", F.col("__qm")), "__nq": norm("__qm", F.col("__pm"))})
+    value = F.coalesce(F.round(clip(F.try_divide(F.col("__d"), F.sqrt(F.col("__np") * F.col("__nq"))), 0, 1), 4), F.lit(0.0))
+    return step.withColumn(out, F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(value)).drop("__p", "__q", "__pm", "__qm", "__d", "__np", "__nq")
+
+
+def routed(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The names of all rules (name, regular expression) that match, in their order."""
+    return F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), F.lit(n)) for n, p in rules]))
+
+
+def payload_digest(fields: Mapping[str, Column], without: Sequence[str] = ("evidence_hash", "status_detail")) -> Column:
+    """SHA-256 of the JSON of the named values in order of their names, nulls left out; fields that change afterwards do not count."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields) if k not in without])), 256)

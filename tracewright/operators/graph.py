@@ -163,3 +163,50 @@ def roots(links: DataFrame, child: str, parent: str) -> DataFrame:
 def relation(label: Column, table: Mapping[str, str]) -> Column:
     """The relation an event type stands for; ASSOCIATED_WITH by default."""
     return mapped(F.upper(label), table, "ASSOCIATED_WITH")
+
+
+def recorded_edges(edges: DataFrame, nodes: DataFrame, a: str = "src", b: str = "dst", key: str = "id") -> DataFrame:
+    """Edges both of whose ends are recorded nodes; the others are dropped."""
+    known = nodes.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
+    return edges.join(known.withColumnRenamed(key, a), a, "left_semi").join(known.withColumnRenamed(key, b), b, "left_semi")
+
+
+def bounded_state(events: DataFrame, most: int, t: str = "t", key: str = "event_id") -> DataFrame:
+    """The events kept of a graph of at most ``most`` nodes: all while they are not more, else the newest half of that."""
+    n = events.count()
+    return events if n <= most else newest_events(events, most // 2, t, key)
+
+
+def grown(edges: DataFrame, seeds: DataFrame, least: int = 100) -> DataFrame:
+    """(id, hop): whole steps around the seeds until at least ``least`` nodes are reached or no more are found; every node's way back to a seed certifies its reach."""
+    near = materialize(undirected(edges))
+    reached = frontier = materialize(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    hop = 0
+    while reached.count() < least:
+        hop += 1
+        step = near.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        frontier = materialize(step.join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        reached = materialize(reached.unionByName(frontier))
+    return reached
+
+
+def verified(records: DataFrame, key: str, parent: str, sound: Column) -> DataFrame:
+    """(node, status): TAMPERED if its own check fails, MISSING_ANCESTOR or ANCESTOR_TAMPERED if one above is gone or fails, else VERIFIED.
+
+    What fails above is found by pointer jumping: each round every node looks twice as far up, so a chain of any length
+    takes as many rounds as its length has bits. A chain that ends in a cycle is MISSING_ANCESTOR.
+    """
+    base = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.min(parent).alias("up"), F.bool_and(F.coalesce(sound, F.lit(False))).alias("own"))
+    # What lies above and up to the node looked at: gone, bad.
+    at = materialize(base.select("node", "own", "up", F.lit(False).alias("gone"), F.lit(False).alias("bad")))
+    for _ in range(at.count().bit_length() + 1):
+        nxt = at.select(F.col("node").alias("up"), F.col("up").alias("u2"), F.col("own").alias("o2"), F.col("gone").alias("g2"), F.col("bad").alias("b2"), F.lit(True).alias("there"))
+        open_ = at.where("up is not null").join(nxt, "up", "left")
+        step = open_.select("node", "own", F.col("u2").alias("up"), (F.col("gone") | F.col("there").isNull() | F.coalesce("g2", F.lit(False))).alias("gone"), (F.col("bad") | ~F.coalesce("o2", F.lit(True)) | F.coalesce("b2", F.lit(False))).alias("bad"))
+        at = materialize(at.where("up is null").unionByName(step))
+        if at.where("up is not null").isEmpty():
+            break
+    lost = F.col("gone") | F.col("up").isNotNull()
+    return at.select("node", F.when(~F.col("own"), "TAMPERED").when(lost, "MISSING_ANCESTOR").when(F.col("bad"), "ANCESTOR_TAMPERED").otherwise("VERIFIED").alias("status"))

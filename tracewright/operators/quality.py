@@ -68,3 +68,28 @@ def overall(statuses: DataFrame, status: str = "status") -> DataFrame:
     """One row: the worst status; UNKNOWN only if nothing is known."""
     any_of = lambda s: F.coalesce(F.bool_or(F.col(status) == s), F.lit(False))
     return statuses.agg(F.when(any_of("CRITICAL"), "CRITICAL").when(any_of("DEGRADED"), "DEGRADED").when(any_of("HEALTHY"), "HEALTHY").otherwise("UNKNOWN").alias("overall"))
+
+
+def vocabulary_rate(df: DataFrame, checks: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row (rate): cells of the named columns that hold none of their known values, over the rows, 1 at most."""
+    bad = sum((F.coalesce(~F.col(c).isin(*known), F.lit(True)).cast("int") for c, known in checks.items()), F.lit(0))
+    return df.agg(F.least(F.try_divide(F.sum(bad), F.count(F.lit(1))), F.lit(1.0)).alias("rate"))
+
+
+def hash_status(df: DataFrame, digest: str) -> DataFrame:
+    """One row (bad, status) of provenance without a manifest: HEALTHY only if every row has a hash of 64 hexadecimal digits."""
+    return df.agg(F.count_if(~F.coalesce(F.col(digest).rlike("^[0-9a-f]{64}$"), F.lit(False))).alias("bad")).withColumn("status", F.when(F.col("bad") == 0, "HEALTHY").otherwise("DEGRADED"))
+
+
+def rejection_status(df: DataFrame, received: Column, accepted: Column, rejected: Column) -> DataFrame:
+    """``df`` with ``rate`` and ``status``: CRITICAL where the counts do not add up, else by the rate of rejections."""
+    rate = F.try_divide(rejected.cast("double"), received)
+    return df.withColumn("rate", rate).withColumn("status", F.when(received != accepted + rejected, "CRITICAL").otherwise(level(rate, "rejection")))
+
+
+def source_health(parts: Sequence[DataFrame]) -> DataFrame:
+    """(dimension, rate, status) of several checks, and a row 'overall' with the worst."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.unionByName(overall(every).select(F.lit("overall").alias("dimension"), F.lit(None).cast("double").alias("rate"), F.col("overall").alias("status")))

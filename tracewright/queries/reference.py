@@ -707,11 +707,6 @@ def ml4_shapley(spark, d):
     return _domain_scores(spark, d).select("c_custkey", r7(phi["a"] + 1e-10, "phi_a"), r7(phi["b"] + 1e-10, "phi_b"))
 
 
-@query()
-def cf1_compound_conflict(spark, d):
-    return _domain_scores(spark, d).select("c_custkey", fusion.compound_conflict(fusion.mass(F.col("b")), fusion.mass(F.col("c"))).alias("conflict"))
-
-
 @query(
     """SELECT officer_id, metadata.prompt_type AS prompt_type, count(*) FILTER (WHERE upper(metadata.outcome) = 'FOLLOWED') AS followed, count(*) FILTER (WHERE upper(metadata.outcome) = 'IGNORED') AS ignored,
     round((1 + count(*) FILTER (WHERE upper(metadata.outcome) = 'FOLLOWED')) / (2 + count(*) FILTER (WHERE upper(metadata.outcome) IN ('FOLLOWED', 'IGNORED'))), 6) AS posterior FROM features5_6_events WHERE event_type = 'PROMPT_OUTCOME' AND metadata IS NOT NULL GROUP BY 1, 2"""

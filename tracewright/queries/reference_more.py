@@ -371,12 +371,6 @@ def ex5_splits_in_order(spark, d):
     return learning.splits_in_order(x, "t", "part", ["train", "val", "test"])
 
 
-@query()
-def wn4_adaptive_baseline(spark, d):
-    daily = R._daily(spark, d).withColumn("d", F.date_format("d", "yyyy-MM-dd"))
-    return runtime.adaptive_baseline(daily, "actor_id", "d", "v")
-
-
 # ---- quality, state ----
 
 
@@ -463,14 +457,6 @@ def seq13_series_motifs(spark, d):
     return sequences.series_motifs(daily, "actor_id", "xs", 7)
 
 
-@query("WITH " + R._SCORES + ", p AS (SELECT c_custkey, 'a-b' AS pair, abs(a - b) AS gap FROM x WHERE a IS NOT NULL UNION ALL SELECT c_custkey, 'a-c', abs(a - c) FROM x WHERE a IS NOT NULL UNION ALL SELECT c_custkey, 'b-c', abs(b - c) FROM x) SELECT c_custkey, arg_max(pair, (gap, pair)) AS pair, round(max(gap), 7) AS gap FROM p GROUP BY 1")
-def cf2_worst_pairs(spark, d):
-    x = R._domain_scores(spark, d)
-    pairs = F.array(*[F.struct(F.abs(F.col(a) - F.col(b)).alias("gap"), F.lit(f"{a}-{b}").alias("pair")) for a, b in (("a", "b"), ("a", "c"), ("b", "c"))])
-    worst = F.array_max(F.filter(pairs, lambda p: p["gap"].isNotNull()))
-    return x.select("c_custkey", worst.alias("w")).select("c_custkey", F.col("w.pair").alias("pair"), F.round("w.gap", 7).alias("gap"))
-
-
 @query("WITH {ev}, f AS (SELECT actor_id, event_type AS feature, 1 AS store, CAST(count(*) AS DOUBLE) AS v FROM ev GROUP BY 1, 2 UNION ALL SELECT actor_id, event_type, 2, sum(amount) FROM ev WHERE amount > 100 GROUP BY 1, 2) SELECT actor_id, feature, round(arg_max(v, store), 7) AS v FROM f GROUP BY 1, 2")
 def jn9_last_store_wins(spark, d):
     e = events(spark, d)
