@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import scalars as S
 from tracewright.operators import anomaly, entity_features, evidence, fusion, graph, learning, linkage, quality, temporal, validate
 from tracewright.queries import reference as R
+from tracewright.sources import files
 from tracewright.streaming import runtime
 
 QUERIES: dict = {}
@@ -40,9 +41,11 @@ def snk8_recovered_state(spark, d):
     return graph.newest_events(events(spark, d), 500).select("event_id", F.col("actor_id").alias("src"), F.col("target_id").alias("dst"))
 
 
-@query("SELECT event_id FROM events WHERE event_id < 1000")
+@query("SELECT event_id FROM events LIMIT 1000")
 def src11_first_rows(spark, d):
-    return table(spark, d, "events").where("event_id < 1000").select("event_id")
+    """The feature is the bound: the first thousand rows in the order of the file."""
+    e = table(spark, d, "events").select("event_id", F.col("_metadata.file_path").alias("source_file"))
+    return files.with_row_index(e).where("source_row_index < 1000").select("event_id")
 
 
 @query("SELECT raw_id, coalesce(nullif(trim(phone_number), ''), nullif(trim(device_id), ''), nullif(trim(ip_subnet), '')) AS contact, count(*) AS n FROM raw_identity GROUP BY ALL")
@@ -117,11 +120,11 @@ def jn16_two_hop_reach(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT o_orderkey AS id, o_orderpriority AS k, list(DISTINCT l_partkey) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1, 2), x AS (SELECT id, k, unnest(t) AS p, len(t) AS n FROM b)
+    """WITH b AS (SELECT o_orderkey AS id, o_orderpriority AS k, list(DISTINCT l_partkey) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), x AS (SELECT id, k, unnest(t) AS p, len(t) AS n FROM b)
     SELECT a.id AS a, c.id AS b, count(*) AS shared, count(*) = min(a.n) AND count(*) = min(c.n) AS is_equal FROM x a JOIN x c ON a.k = c.k AND a.p = c.p AND a.id < c.id GROUP BY 1, 2"""
 )
 def jn21_request_overlap(spark, d):
-    b = table(spark, d, "orders").where("o_orderstatus = 'F'").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.collect_set("l_partkey").alias("t"))
+    b = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.collect_set("l_partkey").alias("t"))
     return evidence.overlap_of_requests(b, "o_orderkey", "t", "o_orderpriority")
 
 
@@ -254,17 +257,9 @@ def gr16_transition_graph(spark, d):
     return x.select("src", "dst", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 7).alias("weight"))
 
 
-@query("SELECT c.doc_id AS node, p.doc_id AS ancestor, CAST(1 AS INT) AS depth FROM documents c JOIN documents p ON c.parent_doc_id = p.doc_id WHERE p.revision_no = 1 UNION ALL SELECT c.doc_id, g.doc_id, 2 FROM documents c JOIN documents p ON c.parent_doc_id = p.doc_id JOIN documents g ON p.parent_doc_id = g.doc_id WHERE g.revision_no = 1")
+@query("WITH RECURSIVE r AS (SELECT doc_id AS node, parent_doc_id AS ancestor, 1 AS depth FROM documents WHERE parent_doc_id IS NOT NULL UNION ALL SELECT r.node, d.parent_doc_id, depth + 1 FROM r JOIN documents d ON d.doc_id = r.ancestor WHERE d.parent_doc_id IS NOT NULL) SELECT node, ancestor, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1, 2")
 def gr18_lineage(spark, d):
-    doc = table(spark, d, "documents")
-    close = graph.ancestors(doc.where("revision_no <= 3"), "doc_id", "parent_doc_id")
-    first = doc.where("revision_no = 1").select(F.col("doc_id").alias("ancestor"))
-    return close.where("depth <= 2").join(first, "ancestor", "left_semi").select("node", "ancestor", "depth")
-
-
-@query()
-def gr18_closure(spark, d):
-    """Every ancestor of every document; gr18_lineage holds to its SQL, which asks for first revisions at most two steps away."""
+    """Every ancestor of every document."""
     return graph.ancestors(table(spark, d, "documents"), "doc_id", "parent_doc_id")
 
 
@@ -344,9 +339,13 @@ def rl2_evidence_clusters(spark, d):
     return evidence.dependency_clusters(e, "id", ["event_id", "evidence_ref"]).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH {ev}, a AS (SELECT actor_id, event_type, t FROM ev), s AS (SELECT event_type AS x FROM ev GROUP BY 1), c AS (SELECT p.x AS a, q.x AS b FROM s p, s q) SELECT concat(c.a, ' > ', c.b) AS pattern, count(DISTINCT u.actor_id) AS support FROM c JOIN (SELECT actor_id, event_type, min(t) AS f FROM ev GROUP BY 1, 2) u ON u.event_type = c.a JOIN (SELECT actor_id, event_type, max(t) AS l FROM ev GROUP BY 1, 2) v ON v.event_type = c.b AND v.actor_id = u.actor_id AND u.f < v.l GROUP BY 1")
+@query(
+    """WITH {ev}, o AS (SELECT actor_id, event_type AS x, row_number() OVER (PARTITION BY actor_id ORDER BY t, event_id) AS k FROM ev), p1 AS (SELECT actor_id, x AS p, min(k) AS k FROM o GROUP BY 1, 2),
+    p2 AS (SELECT p1.actor_id, concat(p, ' > ', x) AS p, min(o.k) AS k FROM p1 JOIN o ON o.actor_id = p1.actor_id AND o.k > p1.k GROUP BY 1, 2), p3 AS (SELECT p2.actor_id, concat(p, ' > ', x) AS p, min(o.k) AS k FROM p2 JOIN o ON o.actor_id = p2.actor_id AND o.k > p2.k GROUP BY 1, 2),
+    p4 AS (SELECT p3.actor_id, concat(p, ' > ', x) AS p, min(o.k) AS k FROM p3 JOIN o ON o.actor_id = p3.actor_id AND o.k > p3.k GROUP BY 1, 2) SELECT p AS pattern, count(*) AS support FROM (SELECT p FROM p2 UNION ALL SELECT p FROM p3 UNION ALL SELECT p FROM p4) GROUP BY 1"""
+)
 def seq2_sequential_patterns(spark, d):
-    p = learning.sequential_patterns(events(spark, d), "actor_id", "event_type", ["t", "event_id"], 0.001, 2)
+    p = learning.sequential_patterns(events(spark, d), "actor_id", "event_type", ["t", "event_id"], 0.001, 4)
     return p.where(F.contains("pattern", F.lit(" > "))).select("pattern", "support")
 
 
@@ -440,14 +439,6 @@ def seq5_warping(spark, d):
     return sequences.dtw_scores(s.join(other, "actor_id"), "a", "b").select("actor_id", "dtw", "similarity")
 
 
-@query()
-def str2_sequence_distances(spark, d):
-    """Edit distance of each user's whole event sequence to the next user's; str2_token_distances holds to its SQL, which reads the first twelve events."""
-    s = events(spark, d).groupBy("actor_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))["event_type"].alias("w"))
-    other = s.select((F.col("actor_id") - 1).alias("actor_id"), F.col("w").alias("w2"))
-    return s.join(other, "actor_id").select("actor_id", S.token_levenshtein(F.col("w"), F.col("w2")).cast("bigint").alias("distance"))
-
-
 @query()
 def seq13_series_motifs(spark, d):
     """The most alike pair of weeks in each user's daily totals."""
