@@ -158,7 +158,7 @@ def test_closure_covers_all_documents(spark):
         while a is not None:
             want.add((n, a, k))
             a, k = up.get(a), k + 1
-    assert {tuple(r) for r in Q["gr18_closure"](spark, D).collect()} == want and max(k for *_, k in want) > 2
+    assert {tuple(r) for r in Q["gr18_lineage"](spark, D).collect()} == want and max(k for *_, k in want) > 2
 
 
 def test_masses_follow_the_fold(spark):
@@ -268,7 +268,7 @@ def _long_users(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
 def test_whole_sequences_are_compared(spark, tmp_path):
     d = _long_users(spark, tmp_path)
-    assert [tuple(r) for r in Q["str2_sequence_distances"](spark, d).collect()] == [(1, 1)]
+    assert [tuple(r) for r in Q["str2_token_distances"](spark, d).collect()] == [(1, 1)]
     got = Q["seq5_warping"](spark, d).collect()
     assert len(got) == 1 and got[0]["dtw"] > 0
 
