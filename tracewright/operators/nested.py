@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.session import materialize
+
 _NUMBERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 
 
@@ -38,7 +40,8 @@ def infer_json_schema(df: DataFrame, column: Column) -> T.StructType:
     Where one place holds an array in some rows and a bare object in others, it is an array of that object; other
     conflicts become text. Each such place costs one further pass over the values found there.
     """
-    kind = _infer(df.select(F.try_parse_json(column).alias("v")).where("v is not null"))
+    # Parsed once: every further pass reads the written values.
+    kind = _infer(materialize(df.select(F.try_parse_json(column).alias("v")).where("v is not null")))
     return kind if isinstance(kind, T.StructType) else T.StructType([])
 
 
