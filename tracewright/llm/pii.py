@@ -58,6 +58,8 @@ _PART = re.compile(rf"(?:{_PARTICLE}[  ])*[\w'’-]+\.?")
 PARTS = 4
 #: More name parts than this are no lexicon to be held by every task.
 LEXICON = 1_000_000
+_DIGIT = re.compile(r"\d")
+_STREETS = (re.compile(_STREET), re.compile(_STRASSE), re.compile(_RUE))
 _LOWER = re.compile(r"(?<![\w'’])[a-zà-ÿ]{3,}(?![\w'’])")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
@@ -194,7 +196,7 @@ def candidates(line: str, lex: Lexicon, drop: random.Random | None = None, label
             tail = re.split(r"\W+", m.group())[-1].lower()
             file = tail in ("png", "jpg", "jpeg", "svg", "gif", "webp") or tail.isdigit()
             add(a, b, "EMAIL", ["b", "file" if file else "host", f"tail={tail}"] + _context(line, a, b)[:2], "no" if file else "yes")
-    for m in _NUMBER.finditer(line):
+    for m in _NUMBER.finditer(line) if _DIGIT.search(line) else ():
         a, b = m.span()
         text = m.group()
         if text[0] == "(" and ")" not in text:
@@ -208,9 +210,10 @@ def candidates(line: str, lex: Lexicon, drop: random.Random | None = None, label
         other = bool(_OTHER_SAID.search(low)) and not _IDENT_SAID.search(low) or "isbn" in feats
         for kind, mine, theirs in (("PHONE", phone, ident or other), ("ID_NUMBER", ident, phone or other)):
             add(a, b, kind, feats, "yes" if mine and not other else "no" if theirs else "?")
-    if any(c.isdigit() for c in line):
+    if _DIGIT.search(line):
         for k, pattern in enumerate(_ADDRESS):
-            for m in pattern.finditer(line):
+            # Most lines with numbers name no street at all.
+            for m in pattern.finditer(line) if _STREETS[k].search(line) else ():
                 if not any(c.isdigit() for c in m.group("core")):
                     continue
                 a0, b0 = m.span("core")
