@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as S
+from tracewright.session import materialize
 
 SECOND = 1_000_000
 
@@ -31,7 +32,8 @@ def call_features(events: DataFrame, by: str = "actor_id", target: str = "target
 
 
 def money_features(payments: DataFrame, by: str, counterparty: str, amount: str) -> DataFrame:
-    """Count, sum, mean, median, MAD, counterparties of each payer. The deviations are a second pass over the amounts, never a list."""
+    """Count, sum, mean, median, MAD, counterparties of each payer. The deviations are a second pass over the amounts, which are written once, and never a list."""
+    payments = materialize(payments.select(by, counterparty, amount))
     base = payments.groupBy(by).agg(F.count(F.lit(1)).alias("transaction_count"), F.sum(amount).alias("transaction_velocity"), F.avg(amount).alias("mean_amount"), F.median(amount).alias("median_amount"), F.countDistinct(counterparty).alias("unique_counterparties"))
     dev = payments.join(base.select(by, "median_amount"), by).groupBy(by).agg(F.median(F.abs(F.col(amount) - F.col("median_amount"))).alias("amount_deviation"))
     return base.join(dev, by)
