@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as S
-from tracewright.operators import anomaly, casework, discovery, graph, profiles, quality, resolution, sequences
+from tracewright.operators import anomaly, casework, discovery, graph, profiles, quality, resolution, sequences, temporal
 from tracewright.streaming.pipeline import FIELDS, Pipeline
 
 REG = "entity_id string, match_confidence double, actor_id string, actor_name string, device_id string, ip_subnet string"
@@ -154,3 +154,22 @@ def test_pipeline_in_batches(spark, tmp_path):
     live.run(stream)
     live.run(stream)
     assert key(live) == key(one)
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("after", [True, False])
+def test_neighbours_of_pivots(spark, inclusive, after):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(12)])) for i in range(80)]
+    pivots = [(k, t) for k in ("a", "b", "c") for t in (-1, 0, 5, 5, 11, 20)] + [(None, 3), ("a", None)]
+    e, p = spark.createDataFrame(rows, "event_id int, actor_id string, t long"), spark.createDataFrame(pivots, "actor_id string, pivot_t long")
+    got = sorted((r["actor_id"], r["pivot_t"], r["rank"], r["event_id"]) for r in temporal.previous_events(e, p, 3, inclusive=inclusive, after=after).collect())
+    want = []
+    for k, at in pivots:
+        if k is None or at is None:
+            continue
+        side = [(t, i) for i, a, t in rows if a == k and t is not None and (t == at and inclusive or (t > at if after else t < at))]
+        want += [(k, at, n + 1, i) for n, (_, i) in enumerate(sorted(side, reverse=not after)[:3])]
+    assert got == sorted(want)
+    near = sorted((r["event_id"], r["pivot_t"], r["side"]) for r in temporal.around(e, p.distinct(), 4, 2).collect())
+    assert near == sorted((i, at, "PRE" if t < at else "POST") for i, a, t in rows for k, at in set(pivots) if a == k and k and t is not None and at is not None and t != at and at - 4 <= t <= at + 2)

@@ -141,18 +141,36 @@ def transitions(events: DataFrame, by: str = "actor_id", t: str = "t", label: st
 
 
 def previous_events(events: DataFrame, pivots: DataFrame, k: int, by: str = "actor_id", t: str = "t", tie: str = "event_id", inclusive: bool = False, after: bool = False) -> DataFrame:
-    """For each pivot (by, pivot_t) its ``k`` nearest events before (or after) it, nearest first, as ``rank``."""
-    j = events.join(pivots, by)
-    cmp = (F.col(t) > F.col("pivot_t")) if after else (F.col(t) < F.col("pivot_t"))
-    if inclusive:
-        cmp = cmp | (F.col(t) == F.col("pivot_t"))
-    near = [F.asc(t), F.asc(tie)] if after else [F.desc(t), F.desc(tie)]
-    return j.where(cmp).withColumn("rank", F.row_number().over(Window.partitionBy(by, "pivot_t").orderBy(*near))).where(F.col("rank") <= k)
+    """For each pivot (by, pivot_t) its ``k`` nearest events before (or after) it, nearest first, as ``rank``.
+
+    Events are numbered in order, and one ordered pass over events and pivots together counts the events up to each pivot;
+    its neighbours are then looked up by their numbers, so no pivot meets the whole history of its entity. Pivots
+    without a key or time have no neighbours; repeated pivots repeat theirs.
+    """
+    numbered = events.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(t, tie)))
+    at = pivots.where(F.col(by).isNotNull() & F.col("pivot_t").isNotNull()).withColumn("__p", F.struct(*pivots.columns))
+    marks = events.select(F.col(by).alias("__k"), F.col(t).alias("__t"), F.lit(1).alias("__e"), F.lit(None).cast(at.schema["__p"].dataType).alias("__p")).where("__t is not null").unionByName(at.select(F.col(by).alias("__k"), F.col("pivot_t").alias("__t"), F.lit(0).alias("__e"), "__p"))
+    # Up to and with the pivot's own time, or strictly before it.
+    upto = 0 if inclusive != after else -1
+    c = F.sum("__e").over(Window.partitionBy("__k").orderBy("__t").rangeBetween(Window.unboundedPreceding, upto))
+    found = marks.withColumn("__c", F.coalesce(c, F.lit(0))).where("__e = 0").select("__p", "__c", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    place = F.col("__c") + F.col("rank") if after else F.col("__c") - F.col("rank") + 1
+    found = found.select(F.col(f"__p.{by}").alias(by), place.alias("__n"), *[F.col(f"__p.{x}").alias(x) for x in pivots.columns if x != by], F.col("rank").cast("int").alias("rank"))
+    # Rows without a time come first in order and are nobody's neighbours.
+    blank = events.where(F.col(t).isNull()).groupBy(by).agg(F.count(F.lit(1)).alias("__b"))
+    found = found.join(blank, by, "left").withColumn("__n", F.col("__n") + F.coalesce("__b", F.lit(0))).where("__n > coalesce(__b, 0)").drop("__b")
+    return numbered.join(found, [by, "__n"]).drop("__n")
 
 
 def around(events: DataFrame, pivots: DataFrame, before: int, after: int, by: str = "actor_id", t: str = "t") -> DataFrame:
-    """Events in [T - before, T) and (T, T + after] of each pivot, with ``side``."""
-    j = events.join(pivots, by).where((F.col(t) != F.col("pivot_t")) & (F.col(t) >= F.col("pivot_t") - before) & (F.col(t) <= F.col("pivot_t") + after))
+    """Events in [T - before, T) and (T, T + after] of each pivot, with ``side``.
+
+    Both are met in buckets of time as wide as the longer side, of which a pivot reaches three at most.
+    """
+    width = max(before, after, 1)
+    b = lambda c: F.floor(c / width)
+    near = pivots.withColumn("__b", F.explode(F.sequence(b(F.col("pivot_t") - before), b(F.col("pivot_t") + after))))
+    j = events.withColumn("__b", b(F.col(t))).join(near, [by, "__b"]).drop("__b").where((F.col(t) != F.col("pivot_t")) & (F.col(t) >= F.col("pivot_t") - before) & (F.col(t) <= F.col("pivot_t") + after))
     return j.withColumn("side", F.when(F.col(t) < F.col("pivot_t"), "PRE").otherwise("POST"))
 
 
