@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -283,3 +284,51 @@ def test_hub_counts_as_shared_counterparty(spark):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     assert got == {(a, b): n for a in near for b in near if a < b and (n := len(near[a] & near[b]))} and got[1, 2] == 2
+
+
+def test_pairs_by_shared_counterparties(spark):
+    """Hubs, light neighbours, nodes with equal hubs, and pairs that share both kinds, for several bounds between the kinds."""
+    rng = random.Random(5)
+    links = [(f"u{i}", "hub") for i in range(40)] + [(f"u{i}", f"h{j}") for i in range(25) for j in range(6) if rng.random() < 0.5] + [(f"u{rng.randrange(60)}", f"u{rng.randrange(60)}") for _ in range(150)] + [("u1", None)]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    near = {}
+    for a, b in links:
+        if b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = Counter(n for a in near for b in near if a < b and (n := len(near[a] & near[b])))
+    for light in (0, 3, 8, 1000):
+        assert {r["shared"]: r["n_pairs"] for r in graph.shared_counts(edges, light).collect()} == want
+    assert graph.shared_counts(edges.limit(0)).count() == 0
+
+
+def test_block_counts():
+    """Both ways to count, small strips, rows for several nodes and moved pairs, against sets."""
+    rng = random.Random(6)
+
+    def side(rows):
+        hubs = [sorted({rng.choice([1, 2, rng.randrange(3, 400)]) for _ in range(rng.randrange(1, 12))}) for _ in range(rows)]
+        return hubs, (np.array([i for i, h in enumerate(hubs) for _ in h]), np.array([x for h in hubs for x in h]), np.array([rng.randrange(1, 4) for _ in hubs]))
+
+    (a, left), (b, right) = side(150), side(70)
+    for other, right_, same in ((b, right, False), (a, left, True)):
+        want = Counter()
+        for i, x in enumerate(a):
+            for j, y in enumerate(other):
+                if not same or i <= j:
+                    n = int(left[2][i])
+                    want[len(set(x) & set(y))] += n * (n - 1) // 2 if same and i == j else n * int(right_[2][j])
+        want[len(set(a[3]) & set(other[5]))] -= 2
+        want[len(set(a[3]) & set(other[5])) + 9] += 2
+        for cells in (50, 3000, 10**6):
+            got = graph.block_counts(left, right_, same, tuple(np.array([v]) for v in (3, 5, 9, 2)), cells)
+            assert {i: int(n) for i, n in enumerate(got) if n} == {i: n for i, n in want.items() if n}
+
+
+def test_hub_of_many_users_is_counted_without_its_pairs(spark, tmp_path):
+    """60,000 users of one target are 1.8 billion pairs, too many to be written or sent."""
+    e = spark.range(60_000).select(F.col("id").alias("event_id"), (F.col("id") + 10).alias("user_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    again = e.where("event_id < 3").withColumn("props", F.lit('{"k": 2}'))
+    e.unionByName(again).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["shared"]: r["n_pairs"] for r in Q["jn15_shared_counterparties"](spark, str(tmp_path)).collect()}
+    assert got == {1: 60_000 * 59_999 // 2 - 3, 2: 3, 3: 1}  # the targets share three users

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import mapped
 from tracewright.operators.linkage import pairs_within
-from tracewright.session import materialize
+from tracewright.session import materialize, ship
 
 
 def edges_of(events: DataFrame, actor: str = "actor_id", target: str = "target_id", t: str = "t", label: str = "event_type", ref: str = "event_id") -> DataFrame:
@@ -25,8 +25,8 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct neighbour pairs in both directions, without self links."""
-    pair = edges.where("src <> dst").select("src", "dst")
-    return pair.union(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.where("src <> dst").select(F.explode(both).alias("x")).select("x.src", "x.dst").distinct()
 
 
 def collapse(edges: DataFrame) -> DataFrame:
@@ -105,6 +105,138 @@ def shared_counterparties(edges: DataFrame, max_degree: int = 10_000) -> DataFra
     return pairs_within(near, "dst", max_degree).groupBy(F.col("left_id").alias("a"), F.col("right_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def shared_counts(edges: DataFrame, light: int = 64) -> DataFrame:
+    """(shared, n_pairs): how many pairs of nodes have so many neighbours in common; :func:`shared_counterparties` counted by ``shared``, without its pairs.
+
+    A neighbour of up to ``light`` ends pairs them. Of the others, the hubs, every node holds its list; nodes with the same
+    list are one class, and the classes meet block by block, each block counting what its pairs have in common in memory
+    (:func:`block_counts`). Pairs that also share light neighbours are moved from their number of hubs to the sum, in the
+    block that knows it. So what is moved are lists of hubs, once a block, and pairs of light neighbours only.
+    """
+    near = materialize(undirected(edges))
+    sizes = near.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    few = near.join(sizes.where((F.col("n") > 1) & (F.col("n") <= light)).select("dst"), "dst")
+    pairs = few.withColumnRenamed("src", "a").join(few.withColumnRenamed("src", "b"), "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    hubs = materialize(sizes.where(F.col("n") > light).select("dst", F.monotonically_increasing_id().alias("hub")))
+    lists = materialize(near.join(hubs, "dst").groupBy("src").agg(F.array_sort(F.collect_list("hub")).alias("hubs")))
+    classes = materialize(lists.groupBy("hubs").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.monotonically_increasing_id()))
+    n, held = classes.agg(F.count(F.lit(1)), F.sum(F.size("hubs"))).first()
+    if not n:
+        return pairs.groupBy("shared").agg(F.count(F.lit(1)).alias("n_pairs"))
+    ship(edges.sparkSession)
+    parts = max(8, -(-n // 100_000), -(-held // 4_000_000))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    of = lists.join(classes.select("hubs", "class"), "hubs").select("src", "class")
+    both = pairs.join(of.select(F.col("src").alias("a"), F.col("class").alias("x")), "a", "left").join(of.select(F.col("src").alias("b"), F.col("class").alias("y")), "b", "left")
+    both = materialize(both.groupBy("x", "y", "shared").agg(F.count(F.lit(1)).alias("n")))
+    alone = both.where("x is null or y is null").select("shared", F.col("n").alias("n_pairs"))
+    # Blocks are named by their parts p <= q; of rows of two classes the first is of part p.
+    met = both.where("x is not null and y is not null").withColumn("turn", part("x") > part("y"))
+    met = met.select(F.when(F.col("turn"), F.col("y")).otherwise(F.col("x")).alias("class"), F.when(F.col("turn"), F.col("x")).otherwise(F.col("y")).alias("other"), "n", F.array("shared").alias("hubs"))
+    met = met.select(part("class").alias("p"), part("other").alias("q"), F.lit(-1).alias("part"), "class", "other", "n", "hubs")
+    side = classes.withColumn("part", part("class")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    side = side.select(F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "part", "class", F.lit(None).cast("bigint").alias("other"), "n", "hubs")
+    found = side.unionByName(met).groupBy("p", "q").applyInArrow(_block, "shared bigint, n_pairs bigint")
+    return found.unionByName(alone).groupBy("shared").agg(F.sum("n_pairs").alias("n_pairs")).where("n_pairs > 0")
+
+
+def _block(key, rows):
+    """:func:`block_counts` of one block of :func:`shared_counts`."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    p, q = key[0].as_py(), key[1].as_py()
+    part, name, n = (rows[c].to_numpy() for c in ("part", "class", "n"))
+    of, hubs = np.repeat(np.arange(len(part)), pc.list_value_length(rows["hubs"]).to_numpy()), pc.list_flatten(rows["hubs"]).to_numpy()
+
+    def side(k):
+        at = np.flatnonzero(part == k)
+        at = at[np.argsort(name[at])]
+        place = np.full(len(part), -1)
+        place[at] = np.arange(len(at))
+        row = place[of]
+        order = np.argsort(row, kind="stable")
+        order = order[row[order] >= 0]
+        return name[at], (row[order], hubs[order], n[at])
+
+    (a, left), (b, right), more = side(p), side(q), part == -1
+    x, y = name[more], rows["other"].filter(pa.array(more)).to_numpy()
+    counts = block_counts(left, right, p == q, (np.searchsorted(a, x), np.searchsorted(b, y), hubs[(part == -1)[of]], n[more]))
+    at = np.flatnonzero(counts)
+    at = at[at > 0]
+    return pa.table({"shared": pa.array(at, pa.int64()), "n_pairs": pa.array(counts[at], pa.int64())})
+
+
+def block_counts(left, right, same: bool, more, cells: int = 4_000_000):
+    """At i: how many pairs of a left and a right node have i hubs in common; without those of a node with itself, and each once, if both sides are the ``same``.
+
+    A side is (row, hub, n): its hubs ordered by row, and how many nodes each row stands for. ``more`` (left row, right
+    row, further, n) moves n pairs to so many further neighbours. Hubs that many rows have are multiplied as matrices,
+    the others are looked up; at most ``cells`` pairs of rows are held at once.
+    """
+    import numpy as np
+
+    (pr, ph, pn), (qr, qh, qn) = left, right
+    mr, mc, further, mn = more
+    known = np.intersect1d(ph, qh)
+    m = len(known)
+
+    def inside(r, h):
+        at = np.minimum(np.searchsorted(known, h), max(m - 1, 0))
+        keep = known[at] == h if m else np.zeros(len(h), bool)
+        return r[keep], at[keep]
+
+    (pr, ph), (qr, qh) = inside(pr, ph), inside(qr, qh)
+    in_q = np.bincount(qh, minlength=m)
+    weight = np.bincount(ph, minlength=m) * in_q
+    wide = np.argsort(-weight)[: 4 * cells // max(len(pn), len(qn), 1)]
+    wide = wide[weight[wide] * 64 > len(pn) * len(qn)]
+    column = np.full(m, -1)
+    column[wide] = np.arange(len(wide))
+    kind = np.float32 if m < 2**24 else np.float64  # counts stay exact
+    dense = np.zeros((len(wide), len(qn)), kind)
+    at = column[qh] >= 0
+    dense[column[qh[at]], qr[at]] = 1
+    # The right rows of every other hub, one after another.
+    order = np.argsort(qh, kind="stable")
+    holders, first = qr[order], np.concatenate(([0], np.cumsum(in_q)))
+    order = np.argsort(mr, kind="stable")
+    mr, mc, further, mn = mr[order], mc[order], further[order], mn[order]
+    counts, moved = np.zeros(m + 1, np.int64), np.zeros(m + 1 + int(further.max(initial=0)), np.int64)
+    ones = bool((pn == 1).all() and (qn == 1).all())
+    step = max(1, cells // max(len(qn), 1))
+    for s in range(0, len(pn), step):
+        e = min(s + step, len(pn))
+        i, j = np.searchsorted(pr, (s, e))
+        r, h = pr[i:j] - s, ph[i:j]
+        c = column[h]
+        some = np.zeros((e - s, len(wide)), kind)
+        some[r[c >= 0], c[c >= 0]] = 1
+        shared = some @ dense
+        r, h = r[c < 0], h[c < 0]
+        ends = np.cumsum(in_q[h])
+        cuts = np.searchsorted(ends, np.arange(cells, ends[-1] if len(ends) else 0, cells))
+        for rr, hh in zip(np.split(r, cuts), np.split(h, cuts), strict=True):
+            k = in_q[hh]
+            within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            np.add.at(shared.reshape(-1), np.repeat(rr * len(qn), k) + holders[np.repeat(first[hh], k) + within], kind(1))
+        i, j = np.searchsorted(mr, (s, e))
+        had = shared[mr[i:j] - s, mc[i:j]].astype(np.int64)
+        np.subtract.at(moved, had, mn[i:j])
+        np.add.at(moved, had + further[i:j], mn[i:j])
+        flat = shared.astype(np.intp).reshape(-1)
+        if ones:
+            counts += np.bincount(flat, minlength=m + 1)
+        else:
+            counts += np.bincount(flat, np.outer(pn[s:e].astype(float), qn).reshape(-1), minlength=m + 1).astype(np.int64)
+    if same:
+        np.subtract.at(counts, np.bincount(pr, minlength=len(pn)), pn)
+        counts //= 2
+    moved[: m + 1] += counts
+    return moved
+
+
 def hub_neighbours(edges: DataFrame, max_degree: int = 10_000) -> DataFrame:
     return undirected(edges).groupBy("dst").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > max_degree)
 
