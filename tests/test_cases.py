@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -65,6 +66,26 @@ def test_reliability_of_findings(spark):
     assert got == {"high": "HIGH", "none": "INSUFFICIENT_EVIDENCE", "against": "LOW", "both": "CONFLICTED", "one": "MEDIUM", "dup": "MEDIUM"}
 
 
+def test_reliability_adds_in_the_order_of_records(spark):
+    """Means that lie between two roundings come out as their sum in the records' order says, however the records are cut; those of decimals are exact."""
+    rng = random.Random(8)
+    to4 = lambda x: math.floor(x * 10000 + 0.5) / 10000
+    rows, want = [], {}
+    for f in range(60):
+        tenths = [rng.randrange(7, 11) for _ in range(16)]
+        tenths[0] -= sum(tenths) % 2 == 0
+        total = 0.0
+        for k, t in enumerate(tenths):
+            total += 0.5 + (t - 5) / 10.0
+            rows.append((f"f{f}", k, "SUPPORTING", k, 0.5 + (t - 5) / 10.0, Decimal("0.9") if k < 7 else Decimal("0.5"), 1.0, 1.0, 1.0, False, False, k))
+        # 7 of 16 at 0.9 and 9 at 0.5 are 0.675.
+        want[f"f{f}"] = to4(0.25 * to4(total / 16) + 0.15 * 1.0 + 0.15 * 0.675 + 0.2 * 1.0 + 0.1 * 1.0 + 0.15 * 1.0)
+    rng.shuffle(rows)
+    e = spark.createDataFrame(rows, "f string, id int, category string, cluster int, identity double, quality decimal(2,1), temporal double, data double, provenance double, is_future boolean, is_duplicate boolean, place int")
+    for parts in (1, 5):
+        assert {r["f"]: r["score"] for r in casework.reliability(e.repartition(parts), "f", "place").collect()} == want
+
+
 def test_motifs(spark):
     rng = random.Random(2)
     part = lambda i: {"types": [rng.choice("AB") for _ in range(rng.randrange(3, 6))], "gaps": [rng.random() * 9 for _ in range(4)], "span": rng.random() * 30, "start": i, "length": 3}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as S
@@ -117,12 +119,13 @@ _RL = """e AS (SELECT canonical_entity_id AS finding, CASE WHEN upper(trim(sourc
 def rl1_reliability(spark, d):
     x = table(spark, d, "temporal_sequence").where("canonical_entity_id is not null and sequence_index is not null and timestamp is not null")
     dur, ts = F.col("metadata.duration_sec"), F.col("timestamp")
+    tenths = lambda when, a, b: F.when(when, F.lit(Decimal(a))).otherwise(F.lit(Decimal(b)))
     e = x.select(
         F.col("canonical_entity_id").alias("finding"), F.col("event_id").alias("id"), F.when(F.upper(F.trim("source_domain")).startswith("B"), "CONTRADICTING").otherwise("SUPPORTING").alias("category"), F.col("event_id").alias("cluster"), (F.lit(0.5) + (F.col("sequence_index") % 6) / 10.0).alias("identity"),
-        F.when(dur.isNull(), 0.5).otherwise(0.9).alias("quality"), F.when(ts.isNull(), 0.6).otherwise(1.0).alias("temporal"), casework.record_quality(F.col("source_domain"), F.col("sequence_index"), ts, F.sha2("event_id", 256)).alias("data"),
-        F.when(F.col("evidence_ref").isNull(), 0.0).otherwise(1.0).alias("provenance"), (F.col("sequence_index") >= 100000).alias("is_future"), F.coalesce(dur % 7 == 0, F.lit(False)).alias("is_duplicate"),
+        tenths(dur.isNull(), "0.5", "0.9").alias("quality"), tenths(ts.isNull(), "0.6", "1.0").alias("temporal"), tenths(ts.isNull(), "0.8", "1.0").alias("data"),
+        tenths(F.col("evidence_ref").isNull(), "0.0", "1.0").alias("provenance"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"), (F.col("sequence_index") >= 100000).alias("is_future"), F.coalesce(dur % 7 == 0, F.lit(False)).alias("is_duplicate"),
     )
-    return casework.reliability(e, "finding").select("finding", F.round(F.col("score") + 1e-6, 3).alias("score"), "support", "contradiction", "status")
+    return casework.reliability(e, "finding", "place").select("finding", F.round(F.col("score") + 1e-6, 3).alias("score"), "support", "contradiction", "status")
 
 
 @query("SELECT doc_id, round(greatest(1 - CASE WHEN coalesce(trim(contributor), '') IN ('', 'UNKNOWN') THEN 0.2 ELSE 0 END - CASE WHEN coalesce(revision_no < 3, true) THEN 0.1 ELSE 0 END - CASE WHEN revised_at IS NULL THEN 0.2 ELSE 0 END - CASE WHEN text IS NULL THEN 0.5 ELSE 0 END, 0), 6) AS quality FROM documents")
